@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, subjects
 from tidemark.llm.tokens import encode_corpus
 from tidemark.sources.tables import table
 
@@ -27,5 +28,20 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mix(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares)}
+def _assigned(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    documents = table(spark, folder, "documents")
+    areas = sorted(r["subject"] for r in table(spark, folder, "subject_areas").where("subject IS NOT NULL").select("subject").distinct().collect())  # the list of subjects doesn't grow
+    model = subjects.train(documents, table(spark, folder, "subject_labels"), areas)
+    return subjects.assign_subjects(documents, model, ["doc_id"]), areas
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _assigned(spark, folder)[0].select("doc_id", F.explode("subjects").alias("subject"))
+
+
+def p10_makeup(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.makeup(*_assigned(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_makeup)}
 SQL: dict[str, str] = {}
