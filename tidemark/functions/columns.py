@@ -9,6 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Columns that operators add for their own use begin with this; inputs must not use it.
+OWN = "__tm_"
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col(f"`{name}`")
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with underscores added until no column has the name (names compare without case)."""
+    have = {t.lower() for t in taken}
+    while wanted.lower() in have:
+        wanted += "_"
+    return wanted
+
+
 def day_int(day: Column | str) -> Column:
     """A date as yyyymmdd, null for null."""
     d = F.col(day) if isinstance(day, str) else day
@@ -17,7 +34,7 @@ def day_int(day: Column | str) -> Column:
 
 def all_set(columns: list[str]) -> Column:
     """True where none of the columns is null."""
-    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns), F.lit(True))
+    return reduce(lambda a, b: a & b, (col(c).isNotNull() for c in columns), F.lit(True))
 
 
 def comparable(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -26,10 +43,10 @@ def comparable(df: DataFrame, columns: list[str]) -> list[Column]:
 
     def one(c: str) -> Column:
         if isinstance(kinds[c], T.MapType):
-            return F.to_json(F.array_sort(F.map_entries(F.col(c))))
+            return F.to_json(F.array_sort(F.map_entries(col(c))))
         if "map<" in kinds[c].simpleString() or "variant" in kinds[c].simpleString():
-            return F.to_json(F.col(c))
-        return F.col(c)
+            return F.to_json(col(c))
+        return col(c)
 
     return [one(c) for c in columns]
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import OWN, free_name
 from tidemark.operators.skew import ROWS_PER_TASK, salted_join
 from tidemark.operators.snapshots import standing_rows
 
@@ -29,7 +30,7 @@ def attribute_changes(snapshots: DataFrame, key: str, attributes: list[str], day
 def packed_histories(changes: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """One row a key with one array per attribute of (since, value), oldest first. An array is as long as the attribute
     has changes, at most the number of snapshots."""
-    lists = [F.sort_array(F.collect_list(F.when(F.col("attribute") == a, F.struct("since", "value")))).alias(f"_h_{i}") for i, a in enumerate(attributes)]
+    lists = [F.sort_array(F.collect_list(F.when(F.col("attribute") == a, F.struct("since", "value")))).alias(f"{OWN}h_{i}") for i, a in enumerate(attributes)]
     return changes.groupBy(key).agg(*lists)
 
 
@@ -37,19 +38,20 @@ def known_at(events: DataFrame, event_day: str, histories: DataFrame, key: str,
     """Each event with every attribute's last known value on ``event_day``, never a later one.
 
     A last-known match is made for each attribute by itself; the matches become columns again (``prefix`` + attribute).
-    Added besides: ``_known_since``, the day of the latest of these matches (the version's first day; null where nothing
+    An event column of the same name is kept, the known value then comes with an underscore more. Added
+    besides: ``_known_since``, the day of the latest of these matches (the version's first day; null where nothing
     was known yet), and ``_last_since``, the day of the key's last change of all. Events whose key has no history at all,
     or no key, are kept with nulls. Hot keys are split, see ``salted_join``.
     """
     joined = salted_join(events, histories, key, spread, "left", counted, rows_per_task)
-    kinds = [f"_h_{i}" for i in range(len(attributes))]
+    kinds = [f"{OWN}h_{i}" for i in range(len(attributes))]
     for h in kinds:
         upto = F.filter(F.col(h), lambda e: e["since"] <= F.col(event_day))
         joined = joined.withColumn(f"{h}_m", F.try_element_at(upto, F.lit(-1)))
     latest = lambda cols: reduce(lambda a, b: F.greatest(a, b), cols) if len(cols) > 1 else cols[0]
     return joined.select(
         *events.columns,
-        *[F.col(f"{h}_m.value").alias(prefix + a) for h, a in zip(kinds, attributes)],
+        *[F.col(f"{h}_m.value").alias(free_name(prefix + a, events.columns)) for h, a in zip(kinds, attributes)],
         latest([F.col(f"{h}_m.since") for h in kinds]).alias("_known_since"),
         latest([F.try_element_at(F.col(h), F.lit(-1))["since"] for h in kinds]).alias("_last_since"),
         F.col(kinds[0]).isNotNull().alias("_has_history"),

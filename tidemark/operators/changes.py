@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.columns import all_set, comparable
+from tidemark.functions.columns import OWN, all_set, comparable
 from tidemark.session import parallelism
 from tidemark.sources.files import create_json, names_in, read_json, remove
 
-BUCKET, GONE = "_bucket", "_gone"
+BUCKET, GONE = f"{OWN}bucket", f"{OWN}gone"
 
 
 def is_delete(op: str = "_op") -> Column:

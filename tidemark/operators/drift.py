@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.columns import OWN, free_name
 from tidemark.operators.skew import salted_join
 from tidemark.operators.tree_edit import edit_script, schema_tree
 
@@ -22,6 +23,7 @@ IS_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 IS_BOOLEAN = r"^\s*(?i:true|false)\s*$"
 IS_TIMESTAMP = r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
 MAP = "map<string,string>"
+AT, NAMES, STEADY = f"{OWN}at", f"{OWN}names", f"{OWN}steady"
 SCRIPT = "feed string, day date, op string, old_path string, new_path string, kind string, cost double"
 
 
@@ -175,18 +177,18 @@ def unify(rows: DataFrame, feed: str, day: str, columns: list[str], rescued: str
 
     Every contract column is filled from its own values or, where a delivery sends it under another name or in another
     form, from the rescued field that the compiled scripts map to it, converted to the contract's type (a value that
-    can't be read stays null). Other rescued fields come out under steady names in the map ``extra_fields``. Each row
+    can't be read stays null). Other rescued fields come out under steady names in the map ``extra_fields`` (with an underscore more if the input has that column). Each row
     stays one row; rows without feed or day keep what they have.
     """
     at = F.struct(F.col(feed), F.col(day))
-    keyed = rows.withColumn("_delivery", at)
-    maps = names.select(F.struct(F.col("feed").alias(feed), F.col("day").alias(day)).alias("_delivery"), "names")
-    joined = salted_join(keyed, maps, "_delivery", spread, "left", counted=keyed.select("_delivery"))
+    keyed = rows.withColumn(AT, at)
+    maps = names.select(F.struct(F.col("feed").alias(feed), F.col("day").alias(day)).alias(AT), F.col("names").alias(NAMES))
+    joined = salted_join(keyed, maps, AT, spread, "left", counted=keyed.select(AT))
     entries = F.map_entries(F.from_json(F.col(rescued), MAP))
-    renamed = F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at(F.col("names"), e["key"]), e["key"]).alias("key"), e["value"].alias("value")))
+    renamed = F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at(F.col(NAMES), e["key"]), e["key"]).alias("key"), e["value"].alias("value")))
     steady = F.aggregate(renamed, F.create_map().cast(MAP), lambda acc, e: F.when(F.map_contains_key(acc, e["key"]), acc).otherwise(F.map_concat(acc, F.map_from_entries(F.array(e)))))
-    wide = joined.withColumn("_steady", F.coalesce(steady, F.create_map().cast(MAP)))
+    wide = joined.withColumn(STEADY, F.coalesce(steady, F.create_map().cast(MAP)))
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    filled = {c: F.coalesce(F.col(c), convert(F.try_element_at(F.col("_steady"), F.lit(c)), kinds[c])).alias(c) for c in columns}
-    extra = F.map_filter(F.col("_steady"), lambda k, v: ~k.isin(*columns)).alias("extra_fields")
+    filled = {c: F.coalesce(F.col(c), convert(F.try_element_at(F.col(STEADY), F.lit(c)), kinds[c])).alias(c) for c in columns}
+    extra = F.map_filter(F.col(STEADY), lambda k, v: ~k.isin(*columns)).alias(free_name("extra_fields", rows.columns))
     return wide.select(*[filled.get(c, F.col(c)) for c in rows.columns if c != rescued], extra)

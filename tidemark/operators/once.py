@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import all_set, comparable, nulls_last
+from tidemark.functions.columns import OWN, all_set, col, comparable, nulls_last
 
 #: What "delivered first" means for a landing feed.
 DELIVERY = ("_batch_date", "_ingested_at", "_source_file")
@@ -27,12 +27,10 @@ def deliver_once(df: DataFrame, keys: list[str], order: tuple[str, ...] = DELIVE
     tie = comparable(df, [c for c in rest if c not in order])
     if first:
         rank = F.struct(*nulls_last(ranks), *([F.xxhash64(*tie)] if tie else []))
-        pick = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank)
+        pick = F.min_by(F.struct(*[col(c) for c in rest]), rank)
     else:
         rank = F.struct(*ranks, *([F.xxhash64(*tie)] if tie else []))
-        pick = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank)
-    if not rest:
-        return df.where(all_set(keys)).groupBy(*keys).agg(*([F.count("*").alias(copies)] if copies else [F.count("*").alias("_n")])).select(*keys, *([copies] if copies else []))
-    seen = [F.count("*").alias(copies)] if copies else []
-    kept = df.where(all_set(keys)).groupBy(*keys).agg(pick.alias("_kept"), *seen)
-    return kept.select(*[F.col(c) if c in keys else F.col("_kept").getField(c).alias(c) for c in df.columns], *([copies] if copies else []))
+        pick = F.max_by(F.struct(*[col(c) for c in rest]), rank)
+    kept, seen = f"{OWN}kept", f"{OWN}copies"
+    groups = df.where(all_set(keys)).groupBy(*[col(k) for k in keys]).agg(*([pick.alias(kept)] if rest else []), F.count("*").alias(seen))
+    return groups.select(*[col(c) if c in keys else F.col(kept).getField(c).alias(c) for c in df.columns], *([F.col(seen).alias(copies)] if copies else []))

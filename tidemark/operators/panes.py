@@ -25,7 +25,7 @@ def slice_events(events: DataFrame, event_time: str, arrival: str, allowed_days:
     ``on_time``: it arrives no later than its day, or in a batch up to ``open_until`` (a backfill, which no cut-off
     concerns). ``corrects``: it arrives up to ``allowed_days`` later and changes a pane already emitted. ``too_late``:
     it changes nothing. Events without event time or arrival have no pane and are left out. An event that claims to be
-    of the future is on time.
+    of the future is on time. Input columns of the three names added are replaced.
     """
     pane = F.to_date(event_time)
     late = F.date_diff(F.col(arrival), F.col("_pane"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import OWN
+from tidemark.session import parallelism
+
+PART, PARTS = f"{OWN}part", f"{OWN}parts"
 #: Rows of one key that a single task may hold; a key with more is split.
 ROWS_PER_TASK = 1_000_000
 
@@ -16,7 +20,7 @@ def hot_keys(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> D
     that bound is why the result may be broadcast.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.where(F.col("_n") > rows_per_task).select(key, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
+    return counts.where(F.col("_n") > rows_per_task).select(key, F.ceil(F.col("_n") / rows_per_task).cast("int").alias(PARTS))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", counted: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -24,10 +28,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str],
 
     Rows of a hot key get a part from a hash of the columns ``spread``; the right side's rows of that key are repeated
     once for each part. Keys that aren't hot stay in one part, so nothing else grows. ``counted`` is a cheaper frame to
-    count keys in (at least the rows of ``left``). Null keys match nothing; ``how="left"`` keeps such rows of ``left``.
+    count keys in (at least the rows of ``left``). Null keys match nothing; ``how="left"`` keeps such rows of ``left``, spread over all tasks.
     """
     hot = F.broadcast(hot_keys(left if counted is None else counted, key, rows_per_task))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    a = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
-    b = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return a.join(b, [key, "_part"], how).drop("_part")
+    parts = F.coalesce(F.col(PARTS), F.lit(1))
+    scattered = F.when(F.col(key).isNull(), F.lit(parallelism(left.sparkSession))).otherwise(parts)  # null keys match nothing
+    a = left.join(hot, key, "left").withColumn(PART, F.pmod(F.xxhash64(*spread), scattered).cast("int")).drop(PARTS)
+    b = right.join(hot, key, "left").withColumn(PART, F.explode(F.sequence(F.lit(0), parts - 1))).drop(PARTS)
+    return a.join(b, [key, PART], how).drop(PART)
