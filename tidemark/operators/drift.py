@@ -145,7 +145,7 @@ def steady_names(schemas: DataFrame, scripts: DataFrame, contract: list[str]) ->
 
 def number_from(text: Column) -> Column:
     """A number written in any of the ways seen: plain, with a currency, with a decimal comma, or inside an object."""
-    inner = F.regexp_extract(text, r"(\d[\d.,]*)", 1)
+    inner = F.regexp_extract(text, r"(-?\d+(?:[.,]\d+)*)", 1)
     comma = F.regexp_replace(F.regexp_replace(inner, r"\.(?=\d{3}(\D|$))", ""), ",", ".")
     plain = F.when(inner.contains(","), comma).otherwise(inner)
     return plain.try_cast("decimal(38,6)")
