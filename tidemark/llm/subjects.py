@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import OWN
 from tidemark.llm.chains import Chain
 from tidemark.llm.prose import sentences, words
 
@@ -246,7 +247,7 @@ def assign_subjects(documents: DataFrame, model: Model, keep: list[str]) -> Data
     Null and empty texts, redirects, templates, lists and texts without themed sentences get an empty list. Texts are
     read whole; nothing is shuffled.
     """
-    rows = documents.select(*keep, F.col("text").alias("_text"), F.col("source").alias("_source"))
+    rows = documents.select(*keep, F.col("text").alias(f"{OWN}text"), F.col("source").alias(f"{OWN}source"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(_assigner(model, len(keep)), f"{kinds}, {OUT}")
 

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.columns import OWN
+
+MADE = f"{OWN}made"
 #: Where the public vocabularies lie on every executor.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
@@ -61,18 +64,18 @@ def _mapper(path: str, want_ids: bool):
                 made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
             else:
                 made = pa.array(counts, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "_made"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], MADE])
 
     return run
 
 
 def _encoded(df: DataFrame, text: str, keep: list[str], path: str | None, want_ids: bool, name: str) -> DataFrame:
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"
-    rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    rows = df.select(*keep, F.col(text).cast("string").alias(f"{OWN}text"))
     kinds = {f.name: f for f in rows.schema.fields}
     made = T.ArrayType(T.IntegerType(), False) if want_ids else T.LongType()
-    schema = T.StructType([*[kinds[k] for k in keep], T.StructField("_made", made)])
-    return rows.mapInArrow(_mapper(path, want_ids), schema).withColumnRenamed("_made", name)
+    schema = T.StructType([*[kinds[k] for k in keep], T.StructField(MADE, made)])
+    return rows.mapInArrow(_mapper(path, want_ids), schema).withColumnRenamed(MADE, name)
 
 
 def encode_corpus(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None, name: str = "ids") -> DataFrame:
