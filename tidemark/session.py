@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,3 +53,17 @@ def scratch(spark: SparkSession, what: str) -> str:
 def parallelism(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session, the unit in which hot keys and buckets are sized."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession, repository: str) -> None:
+    """Sends the package to the executors' Python workers, once a session, unless their path holds it already."""
+    app = spark.sparkContext.applicationId
+    there = {os.path.abspath(p) for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]}
+    if app in _SHIPPED or repository in there:
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="tidemark-code-"), "tidemark")
+    spark.sparkContext.addPyFile(shutil.make_archive(at, "zip", repository, "tidemark"))
+    _SHIPPED.add(app)
