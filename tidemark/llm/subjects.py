@@ -184,10 +184,16 @@ def _sample(documents: DataFrame, labels: DataFrame, labelled: int, unlabelled:
     return documents.where(F.length("text").between(1, LONGEST)).select("doc_id", "page_id", "source", "text").join(F.broadcast(chosen), "doc_id")
 
 
+PARSED = "doc_id bigint, page_id bigint, source string, labels array<string>, said string, tables int"
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each sentence, a line a sentence, in place of the text."""
     for b in batches:
-        said = [[words(s) for s in sentences(t)] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, type=pa.list_(pa.list_(pa.string())))], names=[*b.schema.names, "said"])
+        texts = b.column(b.schema.get_field_index("text")).to_pylist()
+        said = ["\n".join(" ".join(words(s)) for s in sentences(t)) for t in texts]
+        kept = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "page_id", "source", "labels")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(said, type=pa.string()), pa.array([int("{|" in t) for t in texts], type=pa.int32())], names=["doc_id", "page_id", "source", "labels", "said", "tables"])
 
 
 def train(documents: DataFrame, labels: DataFrame, areas: list[str], labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
@@ -197,8 +203,10 @@ def train(documents: DataFrame, labels: DataFrame, areas: list[str], labelled: i
     model gives no subjects. Labels outside ``areas`` are ignored.
     """
     sample = _sample(documents, labels, labelled, unlabelled)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sample.schema.fields)
-    rows = sample.mapInArrow(_parsed, f"{schema}, said array<array<string>>").toArrow().to_pylist()
+    ids = sample.select(F.col("doc_id").cast("bigint"), F.col("page_id").cast("bigint"), F.col("source").cast("string"), "labels", "text")
+    rows = ids.mapInArrow(_parsed, PARSED).toArrow().to_pylist()
+    for r in rows:
+        r["said"] = [s.split() for s in r["said"].split("\n")] if r["said"] else []
     rows.sort(key=lambda r: (r["labels"] is None, r["doc_id"]))
     place = {s: i for i, s in enumerate(areas)}
     pages, one = set(), []
@@ -224,7 +232,7 @@ def train(documents: DataFrame, labels: DataFrame, areas: list[str], labelled: i
         y = np.zeros_like(found)
         for i, (_, g) in enumerate(taught):
             y[i, g] = 1
-        x = model.features(found, np.array([len(r["said"]) for r, _ in taught]), np.array([int("{|" in r["text"]) for r, _ in taught]), [r["source"] for r, _ in taught])
+        x = model.features(found, np.array([len(r["said"]) for r, _ in taught]), np.array([r["tables"] for r, _ in taught]), [r["source"] for r, _ in taught])
         model.chain = Chain(len(areas)).fit(x, y)
     return model
 
