@@ -50,7 +50,8 @@ def column_kind(kind: T.DataType) -> str:
 
 
 def delivery_schemas(rows: DataFrame, feed: str, day: str, columns: list[str], rescued: str, depth: int = 2) -> DataFrame:
-    """The fields of each delivery: (``feed``, ``day``, ``path``, ``kind``, ``held``, ``rows``), held by more than half.
+    """The fields of each delivery: (``feed``, ``day``, ``path``, ``kind``, ``held``, ``rows``), held by more than half,
+    and for each delivery a row with null ``path`` besides.
 
     Counts are made of all rows in one pass over the narrow columns and combined map-side, so that what is shuffled is
     deliveries x names x kinds, stray names included. Nested objects are followed to ``depth`` names; a nested field
@@ -70,16 +71,16 @@ def delivery_schemas(rows: DataFrame, feed: str, day: str, columns: list[str], r
         levels.append(F.flatten(deeper))
     named = rows.where(F.col(feed).isNotNull() & F.col(day).isNotNull())
     in_columns = named.groupBy(feed, day).agg(F.count("*").alias("rows"), *[F.count(c).alias(f"_c_{i}") for i, c in enumerate(columns)])
-    held = in_columns.select(feed, day, "rows", F.explode(F.array(*[F.struct(F.lit(c).alias("path"), F.lit(kinds[c]).alias("kind"), F.col(f"_c_{i}").alias("n")) for i, c in enumerate(columns)])).alias("_e"))
+    cell = lambda path, kind, n: F.struct(F.lit(path).cast("string").alias("path"), F.lit(kind).cast("string").alias("kind"), F.col(n).alias("n"))
+    cells = F.array(cell(None, None, "rows"), *[cell(c, kinds[c], f"_c_{i}") for i, c in enumerate(columns)])  # the cell without a path says how many rows there are
+    held = in_columns.select(feed, day, F.explode(cells).alias("_e")).where(F.col("_e.n") > 0).select(feed, day, "_e.path", "_e.kind", "_e.n")
     texts = named.where(F.col(rescued).isNotNull()).select(feed, day, F.explode(F.concat(*levels)).alias("_e")).where(F.col("_e.value").isNotNull())
     in_texts = texts.groupBy(feed, day, F.col("_e.path").alias("path"), kind_of(F.col("_e.value")).alias("kind")).agg(F.count("*").alias("n"))
-    both = held.where(F.col("_e.n") > 0).select(feed, day, "_e.path", "_e.kind", "_e.n").unionByName(in_texts)
     most = F.min_by("kind", F.struct(-F.col("n"), F.col("kind")))
-    fields = both.groupBy(feed, day, "path").agg(most.alias("kind"), F.sum("n").alias("held"))
-    sizes = in_columns.select(feed, day, "rows")
-    belongs = sizes.join(fields, [feed, day], "left").where(F.col("held").isNull() | (F.col("held") * 2 > F.col("rows")))
-    empty = sizes.select(F.col(feed).alias("feed"), F.col(day).alias("day"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("held"), "rows")
-    return belongs.select(F.col(feed).alias("feed"), F.col(day).alias("day"), "path", "kind", "held", "rows").unionByName(empty)
+    fields = held.unionByName(in_texts).groupBy(feed, day, "path").agg(most.alias("kind"), F.sum("n").alias("held"))
+    size = F.max(F.when(F.col("path").isNull(), F.col("held"))).over(Window.partitionBy(feed, day))
+    belongs = fields.withColumn("rows", size).where(F.col("path").isNull() | (F.col("held") * 2 > F.col("rows")))
+    return belongs.select(F.col(feed).alias("feed"), F.col(day).alias("day"), "path", "kind", "held", "rows")
 
 
 def _scripts(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
