@@ -198,18 +198,32 @@ class Store:
         now = self._record(name)
         if txn and now["txns"].get(txn[0], -1) >= txn[1]:
             return now["version"]
-        known = [k for k in keys]
-        some = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in known))
-        if not unique and source.where(some).groupBy(*known).count().where("count > 1").limit(1).count():
-            raise DuplicateKeys(f"{name}: the source holds a key of {known} twice")
+        known = list(keys)
+        keyed = now["buckets"] > 1 and now["keys"] == known and not delete_missing
+        source = source.persist()  # read once to be looked at, once to be merged
+        try:
+            return self._merge(name, now, source, known, keyed, update_when, update, insert, delete_missing, evolve, set_values, txn, unique)
+        finally:
+            source.unpersist()
+
+    def _looked_at(self, now: dict, source: DataFrame, keys: list[str]) -> tuple[bool, set[str]]:
+        """Whether a key comes twice, and the buckets touched (at most the number of buckets), by one aggregation."""
+        some = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+        each = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(F.when(some, F.col("_n")).alias("_n"), self._bucket(now).alias(BUCKET) if now["keys"] == keys else F.lit(0).alias(BUCKET))
+        found = each.agg(F.max("_n"), F.collect_set(BUCKET)).first()
+        return (found[0] or 0) > 1, {str(b) for b in found[1]}
+
+    def _merge(self, name, now, source, known, keyed, update_when, update, insert, delete_missing, evolve, set_values, txn, unique) -> int:
+        touched: set[str] = set()
+        if keyed or not unique:
+            twice, touched = self._looked_at(now, source, known)
+            if twice and not unique:
+                raise DuplicateKeys(f"{name}: the source holds a key of {known} twice")
         old = StructType.fromJson(json.loads(now["schema"]))
         added = [f for f in source.schema.fields if f.name not in old.names] if evolve else []
         schema = _optional(StructType([*old.fields, *added]))
-        keyed = now["buckets"] > 1 and now["keys"] == known
         parts = now["parts"]
-        if keyed and not delete_missing:
-            touched = {str(r[0]) for r in source.select(self._bucket(now).alias(BUCKET)).distinct().collect()}  # at most the number of buckets
-        else:
+        if not keyed:
             touched = set(parts) | {"0"}
         target = self._files(sorted(p for b in touched for p in parts.get(b, [])), schema)
         if not update and not delete_missing:
