@@ -107,3 +107,22 @@ def test_without_labels_or_documents(spark):
     assert [r["subjects"] for r in subjects.assign_subjects(frame, model, ["doc_id"]).collect()] == [[]]
     model = subjects.train(frame.limit(0), none, ["law"])
     assert subjects.assign_subjects(frame.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_themes_outside_the_subjects_count_among_the_sentences():
+    """A document half of which is about pastry: its law is held against all sentences with any theme."""
+    docs, labels, _ = corpus(500, 3, wrong=0)
+    rng = random.Random(4)
+    outside = ["pastry crust", "hem stitch", "saucepan", "wool yarn", "marinade"]
+    more = [(10_000 + i, 10_000 + i, " ".join([rng.choice(FRAMES).format(a=a, b=b) for a, b in (rng.sample(outside, 2) for _ in range(8))] + FILLER), "one") for i in range(60)]
+    said = [[words(s) for s in sentences(t)] for _, _, t, _ in docs + more]
+    areas = sorted(THEMES)
+    given = [[areas.index(s) for d, s in labels if d == i] for i in range(len(docs))] + [[] for _ in more]
+    model = subjects.Model(areas, [], subjects.learn_lexicon(said, given, len(areas)))
+    law, pastry = "The judge came before the jury. ", "The wool yarn came before the pastry crust. "
+    assert model.measure(law + pastry * 4 + FILLER[0])[0].tolist() == [1, 0, 0, 4]
+    assert model.measure("The quince came before the damson. " + FILLER[1])[0].tolist() == [0, 0, 0, 1]  # never seen, built as themes are
+    y = np.array([[k in g for k in range(3)] for g in given[: len(docs)]], dtype=float)
+    found = np.stack([model.measure(t)[0] for _, _, t, _ in docs])
+    model.chain = Chain(3).fit(model.features(found, found.sum(axis=1), found[:, 0] * 0, [None] * len(docs)), y)
+    assert model.assign([law + pastry * 4, law + pastry * 3, pastry], [None] * 3)[0] == [[], ["law"], []]

@@ -20,7 +20,7 @@ from tidemark.llm.chains import Chain
 from tidemark.llm.prose import sentences, words
 
 #: Bounds of the sample that models are fitted on: documents with labels, documents without, and their length.
-LABELLED, UNLABELLED, LONGEST = 4_000, 1_000, 50_000
+LABELLED, UNLABELLED, LONGEST = 3_500, 3_000, 50_000
 #: Sources that the chain knows by name, the most frequent in the sample.
 SOURCES = 16
 #: A subject belongs to a document when at least this part of its sentences with any theme treat it.
@@ -34,9 +34,15 @@ class Lexicon:
 
     single: dict[str, tuple[int, float]] = field(default_factory=dict)
     pair: dict[str, dict[str, tuple[int, float]]] = field(default_factory=dict)
+    #: The number that stands for a theme outside the subjects.
+    other: int = -1
+    #: Words that sentences of all subjects share, and the sequences of them by which sentences with a theme are known.
+    frame: frozenset[str] = frozenset()
+    frames: frozenset[tuple[str, ...]] = frozenset()
 
     def subject(self, sentence: list[str]) -> int:
-        """The subject that a sentence treats, -1 for none. A pair stands in for both of its words."""
+        """The subject that a sentence treats, ``other`` for a theme outside them, -1 for none. A pair stands in for both
+        of its words. A sentence without known words that is built as those with themes are has another theme."""
         single, pair = self.single, self.pair
         hits = []
         last = len(sentence) - 1
@@ -50,7 +56,7 @@ class Lexicon:
             elif hit := single.get(w):
                 hits.append(hit)
         if not hits:
-            return -1
+            return self.other if self.frames and tuple(w for w in sentence if w in self.frame) in self.frames else -1
         first = hits[0][0]
         if all(h[0] == first for h in hits):
             return first
@@ -66,6 +72,9 @@ def learn_lexicon(documents: list[list[list[str]]], labels: list[list[int]], sub
     First guess: how the documents that hold a word (or pair) spread over the subjects. Then, in turn: each sentence is
     given the subject that its words speak for, or none, and words are counted by the subjects of their sentences. What
     sentences of all subjects share falls out; a word of one subject that stands in documents of another is put right.
+
+    Sentences may treat themes outside the subjects. They are built of the same shared words in the same order as sentences
+    with known themes; their own words then make up one more class, numbered ``subjects``.
     """
     vocabulary: dict[str, int] = {}
     ids, places, owner = [], [], []
@@ -100,20 +109,51 @@ def learn_lexicon(documents: list[list[list[str]]], labels: list[list[int]], sub
         w[(total < least) | (pages < least) | (counts.max(axis=1) < purest * total)] = 0
         return w
 
-    weights = weigh(counts, counts.sum(axis=1), 0.5)
-    total = counts.sum(axis=1)
-    for turn in range(rounds):
-        score = np.stack([np.bincount(sentence, weights[feature, k], minlength=n) for k in range(subjects)], axis=1)
+    def assign(weights: np.ndarray, classes: int) -> np.ndarray:
+        """The class of each sentence: the one that its words speak for most, if one of them speaks clearly."""
+        score = np.stack([np.bincount(sentence, weights[feature, k], minlength=n) for k in range(classes)], axis=1)
         best = score.argmax(axis=1)
         strongest = np.zeros(n)
         np.maximum.at(strongest, sentence, weights[feature, best[sentence]])
-        best[strongest < 0.7] = subjects
-        cells = np.bincount(feature * (subjects + 1) + best[sentence], minlength=size * (subjects + 1)).reshape(size, subjects + 1)
-        counts, total = cells[:, :subjects].astype(float), cells.sum(axis=1).astype(float)
+        best[strongest < 0.7] = -1
+        return best
+
+    def tally(best: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word stands in sentences of each class, and in any sentence."""
+        cells = np.bincount(feature * (classes + 1) + np.where(best < 0, classes, best)[sentence], minlength=size * (classes + 1)).reshape(size, classes + 1)
+        return cells[:, :classes].astype(float), cells.sum(axis=1).astype(float)
+
+    weights = weigh(counts, counts.sum(axis=1), 0.5)
+    total = counts.sum(axis=1)
+    for _ in range(rounds):
+        best = assign(weights, subjects)
+        counts, total = tally(best, subjects)
         weights = weigh(counts, total, 0.6)
-    top, peak = counts.argmax(axis=1), counts.max(axis=1) / np.maximum(total, 1)  # a word of several subjects peaks low
+
+    # themes outside the subjects: sentences built as those with themes, but of other words
     names = list(vocabulary)
-    lexicon = Lexicon()
+    shared = (counts > 0).sum(axis=1) >= max(2, (subjects + 1) // 2)
+    often = max(4 * least, 0.0025 * (best >= 0).sum())  # names are shared too, but each is rare
+    common = np.flatnonzero(shared & (counts.sum(axis=1) >= often) & ~weights.any(axis=1)).tolist()
+    frame = frozenset(names[i] for i in common if " " not in names[i])
+    built = [tuple(w for w in s if w in frame) for doc in documents for s in doc]
+    seen_with: dict[tuple[str, ...], list[int]] = {}
+    for key, k in zip(built, best.tolist()):
+        row = seen_with.setdefault(key, [0, 0])
+        row[0] += 1
+        row[1] += k >= 0
+    frames = frozenset(key for key, (all_, themed) in seen_with.items() if len(key) > 1 and themed >= least and themed >= 0.75 * all_)
+    fits = np.array([key in frames for key in built])
+    classes = subjects + 1
+    prior = np.append(prior, prior.min()) / (1 + prior.min())
+    for _ in range(3):
+        best[(best < 0) & fits] = subjects
+        counts, total = tally(best, classes)
+        weights = weigh(counts, total, 0.6)
+        weights[(counts.argmax(axis=1) == subjects) & (counts[:, subjects] < 0.8 * total)] = 0
+        best = assign(weights, classes)
+    top, peak = counts.argmax(axis=1), counts.max(axis=1) / np.maximum(total, 1)  # a word of several subjects peaks low
+    lexicon = Lexicon(other=subjects, frame=frame, frames=frames)
     strong = np.flatnonzero(weights.any(axis=1))
     for i in strong.tolist():
         if " " not in names[i]:
@@ -122,7 +162,7 @@ def learn_lexicon(documents: list[list[list[str]]], labels: list[list[int]], sub
         if " " in names[i]:
             a, b = names[i].split(" ")
             parts = [(vocabulary[w], w) for w in (a, b)]
-            if peak[i] > 0.95 and any(0.2 < peak[j] < 0.95 for j, w in parts):
+            if peak[i] > 0.95 and any(0.2 < peak[j] < 0.95 and w not in frame for j, w in parts):
                 lexicon.pair.setdefault(a, {})[b] = (int(top[i]), float(weights[i, top[i]]))
     return lexicon
 
@@ -137,8 +177,8 @@ class Model:
     chain: Chain | None = None
 
     def measure(self, text: str | None) -> tuple[np.ndarray, int, int]:
-        """Sentences by subject, the number of sentences, and whether the text holds a table."""
-        found = np.zeros(len(self.subjects))
+        """Sentences by subject (the last: other themes), the number of sentences, and whether the text holds a table."""
+        found = np.zeros(len(self.subjects) + 1)
         said = sentences(text)
         for s in said:
             k = self.lexicon.subject(words(s))
@@ -152,7 +192,8 @@ class Model:
         part = found / np.maximum(themed, 1)
         named = np.array([[s == k for k in self.sources] for s in sources], dtype=float).reshape(len(sources), len(self.sources))
         structure = np.stack([np.log1p(themed[:, 0]), np.log1p(said), tables, themed[:, 0] > 0], axis=1)
-        return np.hstack([part, (found > 0) & (found >= PART * themed), structure, named])
+        reached = ((found > 0) & (found >= PART * themed))[:, : len(self.subjects)]
+        return np.hstack([part, reached, structure, named])
 
     def assign(self, texts: list[str | None], sources: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Subjects, themed sentences and sentences of each text. The chain's combinations are held against the exact
@@ -167,7 +208,7 @@ class Model:
         if self.chain is None:
             return [[] for _ in texts], themed, said
         decoded = self.chain.decode(self.features(found, said, np.array([m[2] for m in measured]), sources))
-        fits = (found > 0) & (found >= PART * themed[:, None])
+        fits = ((found > 0) & (found >= PART * themed[:, None]))[:, : len(self.subjects)]
         whole = (decoded == fits[:, None, :]).all(axis=2)
         kept = decoded[np.arange(len(texts)), np.where(whole.any(axis=1), whole.argmax(axis=1), 0)] & fits
         return [[self.subjects[k] for k in np.flatnonzero(row)] for row in kept], themed, said
@@ -223,13 +264,13 @@ def train(documents: DataFrame, labels: DataFrame, areas: list[str], labelled: i
     model = Model(areas, sorted(names, key=lambda s: (-names[s], s))[:SOURCES], learn_lexicon([r["said"] for r in one], given, len(areas)))
     taught = [(r, g) for r, g in zip(one, given) if g]
     if taught:
-        found = np.zeros((len(taught), len(areas)))
+        found = np.zeros((len(taught), len(areas) + 1))
         for i, (r, _) in enumerate(taught):
             for s in r["said"]:
                 k = model.lexicon.subject(s)
                 if k >= 0:
                     found[i, k] += 1
-        y = np.zeros_like(found)
+        y = np.zeros((len(taught), len(areas)))
         for i, (_, g) in enumerate(taught):
             y[i, g] = 1
         x = model.features(found, np.array([len(r["said"]) for r, _ in taught]), np.array([r["tables"] for r, _ in taught]), [r["source"] for r, _ in taught])
