@@ -103,10 +103,10 @@ def mix(sizes: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str =
     return timed.select(doc, source, "copy", "n_tokens", "position", "_hash").orderBy("position", "_hash", doc, "copy").drop("_hash")
 
 
-def shares(mixed: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
+def shares(mixed: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source") -> DataFrame:
     """What each target source contributes: tokens, documents, the most often one is used, target and actual share. A
     source without documents reaches a share of 0."""
-    per_doc = mixed.groupBy(source, "doc_id").agg(F.max("copy").alias("_c"), F.sum("n_tokens").alias("_t"))
+    per_doc = mixed.groupBy(source, doc).agg(F.max("copy").alias("_c"), F.sum("n_tokens").alias("_t"))
     got = per_doc.groupBy(source).agg(F.sum("_t").alias("tokens"), F.count("*").alias("documents"), F.max("_c").alias("most_used"))
     every = Window.partitionBy(F.lit(0))  # one row a source
     rows = targets.where(F.col(source).isNotNull()).select(source, "target_share", "max_repeats").join(got, source, "left")
