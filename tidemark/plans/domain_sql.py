@@ -85,7 +85,7 @@ _ORDER_FACT = f"""
       order_delivered_carrier_ts AS shipped_ts, order_delivered_customer_ts AS delivered_ts, order_estimated_delivery_ts AS estimated_ts, change_seq AS last_change_seq FROM ({_ORDERS})),
   e AS (SELECT order_id, change_ts AS ended_ts, order_status AS end_reason FROM ({_LOG}) WHERE order_status IN ('canceled', 'unavailable')
       QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY change_ts, change_seq) = 1),
-  l AS (SELECT order_id, CAST(count(*) AS INTEGER) AS item_count, sum(price) AS order_value FROM ({_ITEMS}) GROUP BY 1),
+  l AS (SELECT order_id, CAST(count(*) AS INTEGER) AS item_count, CAST(sum(price) AS DECIMAL(22,2)) AS order_value FROM ({_ITEMS}) GROUP BY 1),
   r AS (SELECT order_id, round(avg(score), 2) AS review_score, CAST(count(*) AS INTEGER) AS review_count FROM ({_SCORES}) GROUP BY 1)
   SELECT s.order_id, c.customer_unique_id, current_status, purchase_ts, approved_ts, shipped_ts, delivered_ts, estimated_ts,
     {', '.join(f"{_key(m + '_ts')} AS {m}_date_key" for m in ('purchase', 'approved', 'shipped', 'delivered', 'estimated'))},
