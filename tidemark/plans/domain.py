@@ -27,6 +27,7 @@ STATES = ["created", "approved", "invoiced", "processing", "shipped", "delivered
 OPEN, ENDED = ["created", "approved", "invoiced", "processing", "shipped"], ["canceled", "unavailable"]
 #: The latest delivery of a customer; of one delivery's rows the greatest city.
 LATEST_CUSTOMER = ("_batch_date", "_ingested_at", "customer_city")
+#: Fixed value: the greatest part of bad rows that passes the gate.
 THRESHOLD = 0.05
 FIRST_DAY, LAST_DAY = dt.date(2023, 1, 1), dt.date(2025, 12, 31)
 MILESTONES = {"approved": "order_approved_ts", "shipped": "order_delivered_carrier_ts", "delivered": "order_delivered_customer_ts"}
@@ -453,7 +454,8 @@ def _views(spark: SparkSession, folder: str, *names: str) -> None:
         made[n]().createOrReplaceTempView(f"tm_{n}")
 
 
-#: Each report: the views it reads, and its SQL for Spark.
+#: Each report: the views it reads, and its SQL for Spark. The bounds of lateness in hours (-168, 0, 72, 168),
+#: the number of top sellers (15).
 REPORTS = {
     "bi_kpi_ops": (("gate", "bad"), "SELECT count(*) AS tables, count_if(NOT passed) AS blocked, (SELECT count(*) FROM tm_bad) AS quarantined FROM tm_gate"),
     "bi_dq_ratio": (("metrics",), f"""SELECT year(batch_date) * 10000 + month(batch_date) * 100 + day(batch_date) AS batch_day, table_name AS series, round(try_divide(sum(failed_rows), sum(total_rows)), 6) AS bad_ratio
