@@ -133,15 +133,24 @@ def silver_items(spark: SparkSession, folder: str) -> DataFrame:
     return with_lateness(deliver_once(good, ITEM), "order_purchase_ts", BACKFILL)
 
 
+def change_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The change log: each (order, sequence number) once, as delivered first, deletes too."""
+    return deliver_once(quality.split(checked_changes(spark, folder))[0], ["order_id", "change_seq"])
+
+
 def silver_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """The change log: each (order, sequence number) once, as delivered first; deletes leave no state."""
-    good = quality.split(checked_changes(spark, folder))[0].where(~is_delete())
-    return deliver_once(good, ["order_id", "change_seq"])
+    """The log's states; deletes have none."""
+    return change_log(spark, folder).where(~is_delete())
+
+
+def standing_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest change of each order; of a deleted order that is its delete."""
+    return deliver_once(change_log(spark, folder), ["order_id"], ("change_seq",), first=False)
 
 
 def silver_orders(spark: SparkSession, folder: str) -> DataFrame:
-    log = silver_changes(spark, folder)
-    return deliver_once(log, ["order_id"], ("change_seq",), first=False)
+    """The orders that exist, as their latest change left them."""
+    return standing_orders(spark, folder).where(~is_delete())
 
 
 def silver_customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,13 +279,14 @@ def mrg_delete_missing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mrg_forward_only(spark: SparkSession, folder: str) -> DataFrame:
-    """Each order's latest change, from the second half of the feed merged first and the first half after it."""
-    rows = silver_changes(spark, folder).select("order_id", "change_seq", "order_status", "_batch_date")
+    """Each order's latest change, from the second half of the feed merged first and the first half after it. Deletes stay
+    in the table, so that the first half can't bring their orders back, and are left out of the result."""
+    rows = change_log(spark, folder).select("order_id", "change_seq", "order_status", "_op", "_batch_date")
     store = Store(spark, scratch(spark, "tables"))
     store.ensure("orders", rows.schema, ["order_id"], 4)
     for part in (F.col("_batch_date") > F.lit(BACKFILL), F.col("_batch_date") <= F.lit(BACKFILL)):
         merge_forward_only(store, "orders", deliver_once(rows.where(part), ["order_id"], ("change_seq",), first=False), ["order_id"], "change_seq")
-    return store.read("orders").select("order_id", "change_seq", "order_status")
+    return store.read("orders").where(~is_delete()).select("order_id", "change_seq", "order_status")
 
 
 def mrg_hash_guarded(spark: SparkSession, folder: str) -> DataFrame:
@@ -328,11 +338,11 @@ def seller_dimension(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def item_fact(spark: SparkSession, folder: str) -> DataFrame:
-    return star.item_fact(silver_items(spark, folder), silver_orders(spark, folder), silver_customers(spark, folder), seller_dimension(spark, folder), ENDED)
+    return star.item_fact(silver_items(spark, folder), standing_orders(spark, folder), silver_customers(spark, folder), seller_dimension(spark, folder), ENDED)
 
 
 def order_fact(spark: SparkSession, folder: str) -> DataFrame:
-    return star.fulfillment_fact(silver_changes(spark, folder), silver_items(spark, folder), silver_customers(spark, folder), scores(spark, folder), ENDED)
+    return star.fulfillment_fact(change_log(spark, folder), silver_items(spark, folder), silver_customers(spark, folder), scores(spark, folder), ENDED)
 
 
 def gold_dim_date(spark: SparkSession, folder: str) -> DataFrame:
@@ -358,7 +368,7 @@ def gold_fact_order_fulfillment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def backlog(spark: SparkSession, folder: str) -> DataFrame:
-    return star.backlog_fact(silver_changes(spark, folder), silver_items(spark, folder), silver_customers(spark, folder), OPEN)
+    return star.backlog_fact(change_log(spark, folder), silver_items(spark, folder), silver_customers(spark, folder), OPEN)
 
 
 def gold_fact_daily_backlog(spark: SparkSession, folder: str) -> DataFrame:
@@ -412,8 +422,8 @@ def rec_checks(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "order_items").select(*ITEM, *DELIVERY)
     ranked = Window.partitionBy(*ITEM).orderBy(*DELIVERY)
     windowed = rows.where(~quality.missing(*ITEM)).withColumn("_n", F.row_number().over(ranked)).where("_n = 1").drop("_n")
-    changes = silver_changes(spark, folder).select("order_id", "change_seq", "order_status")
-    last = changes.withColumn("_n", F.row_number().over(Window.partitionBy("order_id").orderBy(F.desc("change_seq")))).where("_n = 1").drop("_n")
+    changes = change_log(spark, folder).select("order_id", "change_seq", "order_status", "_op")
+    last = changes.withColumn("_n", F.row_number().over(Window.partitionBy("order_id").orderBy(F.desc("change_seq")))).where((F.col("_n") == 1) & ~is_delete()).drop("_n", "_op")
     return reconcile.evaluate([
         reconcile.Check("items", deliver_once(rows, ITEM), windowed),
         reconcile.Check("orders", silver_orders(spark, folder), last, ("order_id", "change_seq", "order_status")),

@@ -40,7 +40,7 @@ def _contract(name: str, fmt: str, kind: str, columns: str, *keys: str) -> Contr
 CONTRACTS = {
     c.name: c
     for c in (
-        _contract("orders_cdc", "json", CDC, "order_id string, customer_id string, order_status string, order_purchase_ts timestamp, order_approved_ts timestamp, order_delivered_carrier_ts timestamp, order_delivered_customer_ts timestamp, order_estimated_delivery_ts timestamp, change_seq int, change_ts timestamp", "order_id"),
+        _contract("orders_cdc", "json", CDC, "order_id string, customer_id string, order_status string, order_purchase_ts timestamp, order_approved_ts timestamp, order_delivered_carrier_ts timestamp, order_delivered_customer_ts timestamp, order_estimated_delivery_ts timestamp, change_seq int, change_ts timestamp, _op string", "order_id"),
         _contract("order_items", "json", APPEND, "order_id string, order_item_id int, product_id string, seller_id string, order_purchase_ts timestamp, shipping_limit_ts timestamp, price money, freight_value money", "order_id", "order_item_id"),
         _contract("customers", "json", APPEND, "customer_id string, customer_unique_id string, customer_zip_code_prefix string, customer_city string, customer_state string", "customer_id"),
         _contract("reviews", "json", APPEND, "review_id string, order_id string, review_score int, review_creation_ts timestamp, review_answer_ts timestamp", "review_id", "order_id"),

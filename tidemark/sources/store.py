@@ -173,6 +173,16 @@ class Store:
         folders, n = self._write(name, now["version"] + 1, rows, now)
         return self._commit(name, now, "update", {b: list(x.values()) for b, x in folders.items()}, changes=[[UPDATE, x[UPDATE]] for x in folders.values() if UPDATE in x], metrics=n)
 
+    def delete(self, name: str, gone: DataFrame) -> int:
+        """DELETE: rows that equal a row of ``gone`` in all its columns. Null equals nothing."""
+        now = self._record(name)
+        table = self.read(name)
+        hit = F.coalesce("_hit", F.lit(False))
+        marked = table.join(gone.distinct().withColumn("_hit", F.lit(True)), gone.columns, "left")
+        rows = marked.select(*table.columns, F.when(hit, F.struct(*table.columns)).alias(PRE), self._bucket(now).alias(BUCKET), F.when(hit, DELETE).otherwise(KEEP).alias(ACTION))
+        folders, n = self._write(name, now["version"] + 1, rows, now)
+        return self._commit(name, now, "delete", {b: [x[KEEP]] for b, x in folders.items() if KEEP in x}, changes=[[DELETE, x[DELETE]] for x in folders.values() if DELETE in x], metrics=n)
+
     def merge(
         self,
         name: str,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import incremental, quality, scd, star
+from tidemark.operators.changes import is_delete
 from tidemark.operators.once import deliver_once
 from tidemark.sources.contracts import CONTRACTS, LINEAGE
 from tidemark.sources.files import names_in
@@ -83,6 +84,10 @@ class Pipeline:
         self.store.ensure("silver.order_items", rows.schema, keys, self.config.buckets)
         merge_insert_new(self.store, "silver.order_items", rows, keys, txn=("order_items", number))
 
+    def orders(self) -> DataFrame:
+        """The orders that exist. ``silver.orders`` keeps deletes too, so that a late change can't bring an order back."""
+        return self.store.read("silver.orders").where(~is_delete())
+
     def _orders(self, batch: DataFrame, number: int) -> None:
         good = self._checked(batch, self._order_rules(), "orders_cdc", number)
         rows = deliver_once(good.select(*CONTRACTS["orders_cdc"].columns, *LINEAGE), ["order_id"], ("change_seq", "_ingested_at"), first=False)
@@ -130,10 +135,18 @@ class Pipeline:
             keys = ["order_id", "order_item_id"]
             hashed = fact.withColumn("row_hash", star.row_hash(fact, keys))
             s.ensure("gold.fact_order_item", hashed.schema, keys, self.config.buckets)
-            merge_hash_guarded(s, "gold.fact_order_item", hashed, keys)
+            self._merge_fact("gold.fact_order_item", hashed, keys, changed)
 
         incremental.refresh(s, "gold.fact_order_item", sources, mapping, build, full)
 
+    def _merge_fact(self, name: str, hashed: DataFrame, keys: list[str], changed: DataFrame | None) -> None:
+        """Merges a fact built anew for the changed orders (None: all); their rows that it no longer has are deleted."""
+        merge_hash_guarded(self.store, name, hashed, keys, delete_missing=changed is None)
+        if changed is not None:
+            gone = incremental.only(self.store.read(name), changed).select(keys).join(hashed.select(keys), keys, "left_anti")
+            if not gone.isEmpty():
+                self.store.delete(name, gone)
+
     def run(self) -> None:
         """A whole run; a blocked gate stops it before derived tables."""
         self.bronze()
