@@ -16,7 +16,7 @@ from tidemark.sources.files import names_in
 from tidemark.sources.store import Store, merge_forward_only, merge_hash_guarded, merge_insert_new, merge_upsert
 from tidemark.streaming.ingest import append_once, each_batch, ingest
 
-METRICS, QUARANTINE, GATE = "ops.dq_metrics", "ops.quarantine", "ops.dq_gate_log"
+METRICS, QUARANTINE, GATE, JUDGED = "ops.dq_metrics", "ops.quarantine", "ops.dq_gate_log", "ops.dq_gate_judged"
 
 
 @dataclass(frozen=True)
@@ -109,12 +109,22 @@ class Pipeline:
         scd.apply_snapshots(self.store, "silver.seller_history", good, "seller_id", [a for a in c.columns if a != "seller_id"])
 
     def gate(self) -> None:
-        """Judges the newest batch of each table; blocks by raising."""
+        """Judges all that was taken in since the gate last passed, whatever its days; blocks by raising. What a blocked
+        gate has judged is judged again with what comes in after it, since none of it has been published."""
         if not self.store.exists(METRICS):
             return
-        decisions = quality.gate(self.store.read(METRICS), self.config.max_bad_ratio, latest_only=True)
+        found = self.store.read(METRICS).where(F.col("rule") == quality.ALL)
+        if self.store.exists(JUDGED):
+            done = self.store.read(JUDGED).select("table_name", F.col("batch_number").alias("_done"))
+            found = found.join(done, "table_name", "left").where(F.col("_done").isNull() | (F.col("batch_number") > F.col("_done"))).drop("_done")
+        if found.isEmpty():
+            return
+        decisions = quality.gate(found, self.config.max_bad_ratio)
         self.store.append(GATE, decisions)
         quality.enforce(decisions)
+        judged = found.groupBy("table_name").agg(F.max("batch_number").alias("batch_number"))
+        self.store.ensure(JUDGED, judged.schema, ["table_name"])
+        self.store.merge(JUDGED, judged, ["table_name"])
 
     def gold(self, full: bool = False) -> None:
         """The item fact, refreshed from what changed in its four sources."""
