@@ -9,10 +9,11 @@ import sys
 from pyspark.sql import SparkSession
 
 from tidemark.operators.quality import GateError
+from tidemark.operators.reconcile import Unequal
 from tidemark.session import local_session
 from tidemark.streaming.pipeline import Config, Pipeline
 
-TASKS = ("bronze", "silver", "gate", "gold", "run", "history")
+TASKS = ("bronze", "silver", "gate", "gold", "mart", "reconcile", "run", "history")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """0 if the task ran, 2 if the gate blocked."""
+    """0 if the task ran, 2 if the gate blocked, 3 if reconciliation found a difference."""
     a = parser().parse_args(argv)
     spark = spark or (local_session() if a.local else SparkSession.builder.getOrCreate())
     p = Pipeline(spark, Config(a.base, a.backfill, a.allowed_days, a.max_bad_ratio, a.buckets))
@@ -44,6 +45,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except GateError as e:
         print(f"blocked: {e}", file=sys.stderr)
         return 2
+    except Unequal as e:
+        print(f"unequal: {e}", file=sys.stderr)
+        return 3
     return 0
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import incremental, quality, scd, star
+from tidemark.operators import incremental, quality, reconcile, scd, star
 from tidemark.operators.changes import is_delete
 from tidemark.operators.once import deliver_once
 from tidemark.sources.contracts import CONTRACTS, LINEAGE
@@ -17,6 +17,7 @@ from tidemark.sources.store import Store, merge_forward_only, merge_hash_guarded
 from tidemark.streaming.ingest import append_once, each_batch, ingest
 
 METRICS, QUARANTINE, GATE, JUDGED = "ops.dq_metrics", "ops.quarantine", "ops.dq_gate_log", "ops.dq_gate_judged"
+ITEM_FACT, ORDER_FACT, BACKLOG, MART = "gold.fact_order_item", "gold.fact_order_fulfillment", "gold.fact_daily_order_backlog", "gold.mart_seller"
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,8 @@ class Config:
     max_bad_ratio: float = 0.05
     buckets: int = 8
     canceled: tuple[str, ...] = ("canceled", "unavailable")
+    open: tuple[str, ...] = ("created", "approved", "invoiced", "processing", "shipped")
+    calendar: tuple[dt.date, dt.date] = (dt.date(2023, 1, 1), dt.date(2025, 12, 31))
 
     def path(self, *parts: str) -> str:
         return "/".join([self.base.rstrip("/"), *parts])
@@ -127,27 +130,113 @@ class Pipeline:
         self.store.merge(JUDGED, judged, ["table_name"])
 
     def gold(self, full: bool = False) -> None:
-        """The item fact, refreshed from what changed in its four sources."""
+        """Facts refreshed from what changed in their sources, backlog kept by a merge, dimensions written anew."""
         s = self.store
+        if s.exists("silver.products"):
+            s.overwrite("gold.dim_product", self._dim_product())
         sources = ["silver.order_items", "silver.orders", "silver.customers", "silver.seller_history"]
-        if not all(s.exists(x) for x in sources):
+        if not all(s.exists(x) for x in [*sources, "silver.order_changes"]):
             return
         ids = lambda c: c.select("order_id")
+        of_customers = lambda c: s.read("silver.orders").join(c.select("customer_id").distinct(), "customer_id", "left_semi").select("order_id")
         mapping = {
             "silver.order_items": ids,
             "silver.orders": ids,
-            "silver.customers": lambda c: s.read("silver.orders").join(c.select("customer_id").distinct(), "customer_id", "left_semi").select("order_id"),
+            "silver.order_changes": ids,
+            "silver.reviews": ids,
+            "silver.customers": of_customers,
             "silver.seller_history": lambda c: s.read("silver.order_items").join(c.select("seller_id").distinct(), "seller_id", "left_semi").select("order_id"),
         }
+        s.overwrite("gold.dim_customer", self._dim_customer())
+        s.overwrite("gold.dim_seller", self._dim_seller())
 
-        def build(changed: DataFrame | None) -> None:
-            fact = star.item_fact(incremental.only(s.read("silver.order_items"), changed), incremental.only(s.read("silver.orders"), changed), s.read("silver.customers"), s.read("silver.seller_history"), list(self.config.canceled))
-            keys = ["order_id", "order_item_id"]
-            hashed = fact.withColumn("row_hash", star.row_hash(fact, keys))
-            s.ensure("gold.fact_order_item", hashed.schema, keys, self.config.buckets)
-            self._merge_fact("gold.fact_order_item", hashed, keys, changed)
+        def refresh(name: str, keys: list[str], sources: list[str], make, whole: bool = False) -> None:
+            """``whole``: built from all orders whenever any changed."""
 
-        incremental.refresh(s, "gold.fact_order_item", sources, mapping, build, full)
+            def build(changed: DataFrame | None) -> None:
+                changed = None if whole else changed
+                fact = make(changed)
+                hashed = fact.withColumn("row_hash", star.row_hash(fact, keys))
+                s.ensure(name, hashed.schema, keys, self.config.buckets)
+                self._merge_fact(name, hashed, keys, changed)
+
+            incremental.refresh(s, name, sources, mapping, build, full)
+
+        refresh(ITEM_FACT, ["order_id", "order_item_id"], sources, self._item_fact)
+        before = s.version(ORDER_FACT)
+        logged = ["silver.order_changes", "silver.order_items", "silver.customers"]
+        refresh(ORDER_FACT, ["order_id"], [*logged, *(["silver.reviews"] if s.exists("silver.reviews") else [])], self._order_fact)
+        if s.version(ORDER_FACT) != before:
+            self._milestone_metric()
+        refresh(BACKLOG, ["snapshot_date_key", "order_status", "customer_state"], logged, lambda _: self._backlog(), whole=True)
+        s.overwrite("gold.dim_date", self._dim_date())
+
+    def _item_fact(self, changed: DataFrame | None = None) -> DataFrame:
+        s = self.store
+        return star.item_fact(incremental.only(s.read("silver.order_items"), changed), incremental.only(s.read("silver.orders"), changed), s.read("silver.customers"), s.read("silver.seller_history"), list(self.config.canceled))
+
+    def _order_fact(self, changed: DataFrame | None = None) -> DataFrame:
+        s = self.store
+        log, items, scores = (incremental.only(x, changed) for x in (s.read("silver.order_changes"), s.read("silver.order_items"), self._scores()))
+        return star.fulfillment_fact(log, items, s.read("silver.customers"), scores, list(self.config.canceled))
+
+    def _backlog(self) -> DataFrame:
+        s = self.store
+        return star.backlog_fact(s.read("silver.order_changes"), s.read("silver.order_items"), s.read("silver.customers"), list(self.config.open))
+
+    def _scores(self) -> DataFrame:
+        if not self.store.exists("silver.reviews"):
+            return self.spark.createDataFrame([], "order_id string, score int")
+        return self.store.read("silver.reviews").select("order_id", F.col("review_score").alias("score"))
+
+    def _dim_product(self) -> DataFrame:
+        return self.store.read("silver.products").select(*CONTRACTS["products"].columns)
+
+    def _dim_customer(self) -> DataFrame:
+        attributes = ["customer_zip_code_prefix", "customer_city", "customer_state"]
+        return star.person_dimension(self.store.read("silver.customers"), self.orders(), "customer_unique_id", "customer_id", attributes, "order_purchase_ts")
+
+    def _dim_seller(self) -> DataFrame:
+        return self.store.read("silver.seller_history").drop("attr_hash")
+
+    def _dim_date(self) -> DataFrame:
+        """The calendar from the first to the last day that a fact has, at least that of the config."""
+        s, first, last = self.store, *self.config.calendar
+        days = {ITEM_FACT: ["purchase_ts"], ORDER_FACT: [f"{m}_ts" for m in ("purchase", "approved", "shipped", "delivered", "estimated")], BACKLOG: ["snapshot_date"]}
+        for name, columns in days.items():
+            found = s.read(name).agg(*[f(F.to_date(c)) for c in columns for f in (F.min, F.max)]).first()
+            seen = [d for d in found if d is not None]
+            first, last = min([first, *seen]), max([last, *seen])
+        return star.date_dimension(self.spark, first, last)
+
+    def _milestone_metric(self) -> None:
+        """Warns of orders whose milestones contradict each other; the gate doesn't judge it."""
+        counted = self.store.read(ORDER_FACT).agg(F.count_if("has_inconsistent_milestones").alias("failed_rows"), F.count("*").alias("total_rows"))
+        lit = lambda v, t, c: F.lit(v).cast(t).alias(c)
+        row = counted.select(lit("fact_order_fulfillment", "string", "table_name"), lit(None, "date", "batch_date"), lit("inconsistent_milestones", "string", "rule"), lit(quality.WARN, "string", "severity"), "failed_rows", "total_rows", lit(None, "int", "batch_number"))
+        self.store.append(METRICS, row)
+
+    def mart(self) -> None:
+        if self.store.exists(ITEM_FACT) and self.store.exists("gold.dim_seller"):
+            self.store.overwrite(MART, self._mart())
+
+    def _mart(self) -> DataFrame:
+        return star.seller_mart(self.store.read(ITEM_FACT), self._scores(), self.store.read("gold.dim_seller"))
+
+    def reconcile(self) -> None:
+        """Compares what is kept with what all of silver gives anew; raises where they differ."""
+        s = self.store
+        made = {"gold.dim_product": self._dim_product, "gold.dim_customer": self._dim_customer, "gold.dim_seller": self._dim_seller, ITEM_FACT: self._item_fact, ORDER_FACT: self._order_fact, BACKLOG: self._backlog, MART: self._mart}
+        checks = []
+        for name, make in made.items():
+            if s.exists(name):
+                again = make()
+                checks.append(reconcile.Check(name, again, s.read(name), tuple(again.columns)))
+        if s.exists("silver.orders") and s.exists("silver.order_changes"):
+            last = deliver_once(s.read("silver.order_changes"), ["order_id"], ("change_seq",), first=False)
+            checks.append(reconcile.Check("silver.orders", last, s.read("silver.orders"), ("order_id", "change_seq")))
+        if checks:
+            reconcile.enforce(reconcile.evaluate(checks))
 
     def _merge_fact(self, name: str, hashed: DataFrame, keys: list[str], changed: DataFrame | None) -> None:
         """Merges a fact built anew for the changed orders (None: all); their rows that it no longer has are deleted."""
@@ -163,6 +252,7 @@ class Pipeline:
         self.silver()
         self.gate()
         self.gold()
+        self.mart()
 
 
 def with_lateness(rows: DataFrame, event_time: str, backfill: dt.date) -> DataFrame:
