@@ -109,20 +109,48 @@ def test_without_labels_or_documents(spark):
     assert subjects.assign_subjects(frame.limit(0), model, ["doc_id"]).count() == 0
 
 
+def fitted(docs, labels, more=()):
+    said = [(i, p, [words(s) for s in sentences(t)], source) for i, p, t, source in [*docs, *more]]
+    given = {}
+    for d, s in labels:
+        given.setdefault(d, []).append(s)
+    return subjects.fit([{"doc_id": i, "page_id": p, "said": x, "labels": given.get(i), "source": s, "tables": 0} for i, p, x, s in said], sorted(THEMES))
+
+
 def test_themes_outside_the_subjects_count_among_the_sentences():
     """A document half of which is about pastry: its law is held against all sentences with any theme."""
-    docs, labels, _ = corpus(500, 3, wrong=0)
+    docs, labels, _ = corpus(1500, 3, wrong=0)
     rng = random.Random(4)
     outside = ["pastry crust", "hem stitch", "saucepan", "wool yarn", "marinade"]
     more = [(10_000 + i, 10_000 + i, " ".join([rng.choice(FRAMES).format(a=a, b=b) for a, b in (rng.sample(outside, 2) for _ in range(8))] + FILLER), "one") for i in range(60)]
-    said = [[words(s) for s in sentences(t)] for _, _, t, _ in docs + more]
-    areas = sorted(THEMES)
-    given = [[areas.index(s) for d, s in labels if d == i] for i in range(len(docs))] + [[] for _ in more]
-    model = subjects.Model(areas, [], subjects.learn_lexicon(said, given, len(areas)))
+    model = fitted(docs, labels, more)
+    found = lambda text: model.measure([[words(s) for s in sentences(text)]], [0]).found[0].tolist()
     law, pastry = "The judge came before the jury. ", "The wool yarn came before the pastry crust. "
-    assert model.measure(law + pastry * 4 + FILLER[0])[0].tolist() == [1, 0, 0, 4]
-    assert model.measure("The quince came before the damson. " + FILLER[1])[0].tolist() == [0, 0, 0, 1]  # never seen, built as themes are
-    y = np.array([[k in g for k in range(3)] for g in given[: len(docs)]], dtype=float)
-    found = np.stack([model.measure(t)[0] for _, _, t, _ in docs])
-    model.chain = Chain(3).fit(model.features(found, found.sum(axis=1), found[:, 0] * 0, [None] * len(docs)), y)
-    assert model.assign([law + pastry * 4, law + pastry * 3, pastry], [None] * 3)[0] == [[], ["law"], []]
+    assert found(law + pastry * 4 + FILLER[0]) == [1, 0, 0, 4]
+    assert found("The quince came before the damson. " + FILLER[1]) == [0, 0, 0, 1]  # never seen, said as themes are
+    assert model.assign([law + pastry * 6, law * 3 + pastry * 3, pastry], [None] * 3)[0] == [[], ["law"], []]
+
+
+def test_the_chain_decides():
+    """Where labels name a subject only from half of the sentences on, the chain learns that; no share is built in."""
+    docs, _, _ = corpus(1200, 5, wrong=0)
+    areas = sorted(THEMES)
+    base = fitted(docs, [(d[0], "law") for d in docs[:1]] + corpus(1200, 5, wrong=0)[1])
+    m = base.measure([[words(s) for s in sentences(t)] for _, _, t, _ in docs], [0] * len(docs))
+    part = m.found[:, :3] / np.maximum(m.found.sum(axis=1, keepdims=True), 1)
+    strict = [(d[0], areas[k]) for d, row in zip(docs, part) for k in range(3) if row[k] >= 0.5]
+    model = fitted(docs, strict)
+    two = "The judge came before the jury. " * 4 + "The violin came before the choir. " * 7
+    assert base.assign([two], ["one"])[0] == [["law", "music"]] and model.assign([two], ["one"])[0] == [["music"]]
+    held = corpus(300, 6)[0]
+    differ = sum(a != b for a, b in zip(base.assign([t for _, _, t, _ in held], [None] * 300)[0], model.assign([t for _, _, t, _ in held], [None] * 300)[0]))
+    assert differ > 20
+
+
+def test_terms_and_source_reach_the_chain():
+    docs, labels, _ = corpus(600, 7, wrong=0)
+    model = fitted(docs, labels)
+    m = model.measure([[["the", "judge", "came"]]], [1])
+    x, own = model.features(m, ["one"])
+    assert x.shape == (1, 4 + 4 + 4 + 2) and own.shape[:2] == (1, 3) and m.terms[0].argmax() == 0
+    assert (model.features(m, ["two"])[0] != x).any() and (np.abs(np.array(model.chain.weights[0][: x.shape[1]])) > 1e-6).sum() > 6
