@@ -65,6 +65,15 @@ def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(other, "_newest", lambda: None)
     with pytest.raises(RuntimeError):
         other.apply(feed(spark, [("a", 2, "y", "I", 1)]), is_delete())
+    assert [(r["change_seq"], r["order_status"]) for r in t.current().collect()] == [(1, "x")]
+    stale = t._newest()
+    t.apply(feed(spark, [("a", 3, "z", "U", 1)]), is_delete())
+    monkeypatch.setattr(other, "_newest", lambda: stale)
+    with pytest.raises(RuntimeError):
+        other.apply(feed(spark, [("a", 9, "lost", "U", 1)]), is_delete())
+    assert [(r["change_seq"], r["order_status"]) for r in t.current().collect()] == [(3, "z")]
+    assert sorted(p.name for p in (tmp_path / "routed").iterdir() if not p.name.startswith("."))[0].startswith("00000000-")
+    assert len(list((tmp_path / "routed").iterdir())) == 1  # files that were merged, and those of losers, are gone
 
 
 def test_ties_repeats_null_times_and_empty(spark, rows, tmp_path):

@@ -101,3 +101,63 @@ def test_empty_sources(spark, table, rows):
     merge_upsert(table, "t", df(spark), ["k"])
     merge_insert_new(table, "t", df(spark), ["k"])
     assert len(rows(table.read("t"))) == 2
+
+
+def test_a_writer_that_loses_leaves_the_winners_rows(spark, store, rows, monkeypatch):
+    """Two writers start from one version, in either way of writing; the first to commit stands, in full."""
+    first = df(spark, ("a", 1, 1), ("b", 2, 1))
+    store.ensure("t", first.schema, ["k"], 4)
+    merge_upsert(store, "t", first, ["k"])
+    for write in (lambda s: s.append("t", df(spark, ("q", 99, 1))), lambda s: merge_upsert(s, "t", df(spark, ("a", 99, 9)), ["k"]), lambda s: s.overwrite("t", df(spark, ("z", 99, 1)))):
+        late, stale = Store(spark, store.root), store._record("t")
+        merge_upsert(store, "t", df(spark, ("a", stale["version"], 9), ("c", 7, 1)), ["k"])
+        want = rows(store.read("t"))
+        monkeypatch.setattr(late, "_record", lambda name, version=None, stale=stale: stale)
+        with pytest.raises(ConcurrentCommit):
+            write(late)
+        assert rows(store.read("t")) == want and rows(store.read("t").where("k = 'a'"), "v") == [(stale["version"],)]
+    assert store.vacuum("t") > 0 and rows(store.read("t")) == want
+
+
+def test_a_writer_that_dies_before_its_commit_or_in_it(spark, table, rows, monkeypatch, tmp_path):
+    from tidemark.sources import files
+
+    want = rows(table.read("t"))
+    monkeypatch.setattr(table, "_commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        table.append("t", df(spark, ("x", 1, 1)))
+    monkeypatch.undo()
+    assert rows(table.read("t")) == want
+
+    def dies(spark, written, path):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(files, "PUBLISH", {"file": dies})
+    monkeypatch.setattr(files, "remove", lambda spark, path: None)
+    with pytest.raises(RuntimeError):
+        table.append("t", df(spark, ("y", 1, 1)))
+    monkeypatch.undo()
+    half = next(p for p in (tmp_path / "t" / "_log").iterdir() if p.name.startswith(".0") and not p.name.endswith(".crc"))
+    half.write_text(half.read_text()[:20])  # a record half written
+    assert rows(table.read("t")) == want and table.version("t") == 1
+    table.append("t", df(spark, ("z", 3, 1)))
+    assert rows(table.read("t")) == [*want, ("z", 3, 1)]
+
+
+def test_unknown_file_systems_are_refused(spark, monkeypatch, tmp_path):
+    from tidemark.sources import files
+
+    monkeypatch.setattr(files, "PUBLISH", {})
+    with pytest.raises(NotImplementedError):
+        files.create_json(spark, f"file://{tmp_path}/x.json", {})
+
+
+def test_compaction_keeps_rows_changes_and_versions(spark, table, rows):
+    for n in range(4):
+        merge_insert_new(table, "t", df(spark, *[(f"n{n}{i}", n, 1) for i in range(6)]), ["k"])
+    want, before = rows(table.read("t")), table.version("t")
+    assert table.compact("t", 2) == before + 1 and table.compact("t", 2) == before + 1
+    assert rows(table.read("t")) == want and all(len(p) <= 2 for p in table._record("t")["parts"].values())
+    assert rows(table.changes("t", before, before + 1)) == [] and table.readable_changes("t", before, before + 1)
+    merge_upsert(table, "t", df(spark, ("n00", 50, 2)), ["k"])
+    assert len(rows(table.read("t"))) == len(want) and rows(table.read("t", before)) == want

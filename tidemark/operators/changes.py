@@ -9,6 +9,7 @@ their bucket as tombstones: a change that comes late can't bring them back.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tidemark.functions.columns import OWN, all_set, comparable
 from tidemark.session import parallelism
 from tidemark.sources.files import create_json, names_in, read_json, remove
 
-BUCKET, GONE = f"{OWN}bucket", f"{OWN}gone"
+BUCKET, GONE, NEW = f"{OWN}bucket", f"{OWN}gone", f"{OWN}new"
 
 
 def is_delete(op: str = "_op") -> Column:
@@ -72,39 +73,45 @@ class ChangedTable:
         now = self._newest()
         version = (now["version"] if now else -1) + 1
         folders: dict[str, str] = dict(now["folders"]) if now else {}
-        routed = f"{self.path}/routed/{version:08d}"
+        attempt = f"{version:08d}-{uuid.uuid4().hex}"  # another writer of this version has folders of its own
+        routed, new = f"{self.path}/routed/{attempt}", f"{self.path}/data/{attempt}"
         bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
         marked = self.standing(changes.withColumn(GONE, deletes)).withColumn(BUCKET, bucket)
-        remove(self.spark, routed)
-        marked.repartition(self.buckets, BUCKET).write.partitionBy(BUCKET).parquet(routed)
+        self._by_bucket(marked).write.partitionBy(BUCKET).parquet(routed)
         touched = [n for n in names_in(self.spark, routed) if n.startswith(f"{BUCKET}=")]
         schema = marked.drop(BUCKET).schema
-        new = f"{self.path}/data/{version:08d}"
+        staged = False
         if touched:
             kept = [folders[b] for b in touched if b in folders]
-            incoming = self.spark.read.schema(marked.schema).option("basePath", routed).parquet(*[f"{routed}/{b}" for b in touched])
             if kept:
-                base = self._read(kept, schema)
-                merged = self.merge(base, incoming.drop(BUCKET))
-                remove(self.spark, new)
-                merged.withColumn(BUCKET, bucket).repartition(self.buckets, BUCKET).write.partitionBy(BUCKET).parquet(new)
+                incoming = self.spark.read.schema(marked.schema).option("basePath", routed).parquet(*[f"{routed}/{b}" for b in touched])
+                base = self._read(kept, schema).withColumn(BUCKET, bucket)
+                self.merge(base, incoming).write.partitionBy(BUCKET).parquet(new)
                 folders |= {b: f"{new}/{b}" for b in touched}
+                staged = True
             else:  # nothing to merge with: the routed files are the buckets
                 folders |= {b: f"{routed}/{b}" for b in touched}
         record = {"version": version, "buckets": self.buckets, "folders": folders, "rewritten": touched, "schema": schema.json()}
-        if not create_json(self.spark, f"{self.path}/manifests/{version:08d}.json", record):
+        done = create_json(self.spark, f"{self.path}/manifests/{version:08d}.json", record)
+        if staged or not done:
+            remove(self.spark, routed)
+        if not done:
+            remove(self.spark, new)
             raise RuntimeError(f"version {version} was committed by another writer; apply the changes again")
         return version
 
+    def _by_bucket(self, rows: DataFrame) -> DataFrame:
+        """A task a bucket: the bucket's number is the partition's."""
+        return rows.repartitionById(self.buckets, F.col(BUCKET))
+
     def merge(self, base: DataFrame, incoming: DataFrame) -> DataFrame:
-        """Base rows and standing changes of the same buckets, joined on the key; of two the greater in order stays."""
-        rest = [c for c in base.columns if c not in self.key]
-        a = base.select(*self.key, F.struct(*rest).alias("_old"))
-        b = incoming.select(*self.key, F.struct(*rest).alias("_new"))
-        rank = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in self.order])
-        newer = F.col("_old").isNull() | (F.col("_new").isNotNull() & (rank("_new") >= rank("_old")))
-        joined = a.hint("merge").join(b, self.key, "full").select(*self.key, F.when(newer, F.col("_new")).otherwise(F.col("_old")).alias("_s"))
-        return joined.select(*self.key, *[F.col("_s").getField(c).alias(c) for c in rest])
+        """Base rows and standing changes of the same buckets, brought together once by bucket, sorted by key within it and
+        merged: of a key's at most two rows the greater in order stays, of equal ones the change."""
+        rest = [c for c in base.columns if c not in (*self.key, BUCKET)]
+        both = self._by_bucket(base.withColumn(NEW, F.lit(0)).unionByName(incoming.withColumn(NEW, F.lit(1))))
+        best = F.max_by(F.struct(*rest), F.struct(*comparable(base, self.order), NEW))
+        merged = both.groupBy(BUCKET, *self.key).agg(best.alias("_s"))  # sorted runs of a bucket; the bucket is its partitioning
+        return merged.select(*self.key, *[F.col("_s").getField(c).alias(c) for c in rest], BUCKET)
 
     def current(self, version: int | None = None) -> DataFrame:
         """The rows that exist, as of a version (the newest by default)."""

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from collections.abc import Callable
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
@@ -13,20 +17,58 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def create_json(spark: SparkSession, path: str, value: dict) -> bool:
-    """Writes ``value`` to a new file; False, and nothing written, where the file exists (put if absent)."""
+def _linked(spark: SparkSession, written: str, path: str) -> bool:
+    """On a local disk: a second name for the whole file, which the kernel refuses where the name is taken."""
+    local = lambda x: unquote(urlparse(x).path) if x.startswith("file:") else x
+    try:
+        os.link(local(written), local(path))
+    except FileExistsError:
+        return False
+    return True
+
+
+def _renamed(spark: SparkSession, written: str, path: str) -> bool:
+    """On a file system whose rename is atomic and doesn't overwrite."""
     jvm, p, fs = _fs(spark, path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        out = fs.create(p, False)
+        context.rename(jvm.org.apache.hadoop.fs.Path(written), p, none)
     except Exception as e:  # py4j wraps FileAlreadyExistsException
         if "AlreadyExists" in str(e) or fs.exists(p):
             return False
         raise
+    return True
+
+
+#: How a file that was written under another name gets its own, by scheme: all or nothing, and only if the name is free. A
+#: store without atomic rename needs a function of its own here, a conditional put.
+PUBLISH: dict[str, Callable[[SparkSession, str, str], bool]] = {"file": _linked, **dict.fromkeys(("hdfs", "viewfs", "ofs", "abfs", "abfss"), _renamed)}
+
+
+def create_json(spark: SparkSession, path: str, value: dict) -> bool:
+    """Writes ``value`` to a new file; False where the file exists (put if absent).
+
+    The value is first written whole under a hidden name and then published, so readers never see a part of it, a writer
+    that dies leaves no record behind, and of two writers one gets False.
+    """
+    jvm, p, fs = _fs(spark, path)
+    publish = PUBLISH.get(fs.getUri().getScheme())
+    if publish is None:
+        raise NotImplementedError(f"no way to put a file if absent is known for {fs.getUri().getScheme()}; add one to PUBLISH")
+    if fs.exists(p):
+        return False
+    folder, name = path.rsplit("/", 1)
+    written = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(written), False)
     try:
         out.write(bytearray(json.dumps(value, default=str).encode()))
     finally:
         out.close()
-    return True
+    try:
+        return publish(spark, written, path)
+    finally:
+        remove(spark, written)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

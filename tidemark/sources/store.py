@@ -1,13 +1,15 @@
 """Versioned Parquet tables: atomic commits, MERGE, time travel, change feed, properties.
 
 A table is a folder of immutable data files and a log with one JSON record per commit, created by put-if-absent, so that of
-two writers of a version one fails and may retry. Keyed tables are hashed into buckets; a merge reads and rewrites only the
+two writers of a version one fails and may retry. Every attempt writes to a folder of its own, which only its record names:
+a writer that loses or dies leaves what is committed as it was. Keyed tables are hashed into buckets; a merge reads and rewrites only the
 buckets that its source touches. One pass writes new rows, kept rows and the change feed.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -133,12 +135,11 @@ class Store:
 
     def _write(self, name: str, version: int, rows: DataFrame, now: dict) -> tuple[dict[str, dict[str, str]], dict[str, int]]:
         """Writes rows with bucket and action; returns folders by bucket and action, and the rows counted per action."""
-        at = f"{self.root}/{name}/data/v{version}"
-        remove(self.spark, at)
+        at = f"{self.root}/{name}/data/v{version}-{uuid.uuid4().hex}"
         seen = Observation()
         counted = rows.observe(seen, *[F.count_if(F.col(ACTION) == a).alias(a) for a in (INSERT, UPDATE, DELETE, KEEP)])
         if now["buckets"] > 1:
-            counted = counted.repartition(now["buckets"], BUCKET)
+            counted = counted.repartitionById(now["buckets"], F.col(BUCKET))  # a task a bucket
         counted.write.partitionBy(BUCKET, ACTION).parquet(at)
         folders = {b.split("=")[1]: {a.split("=")[1]: f"{at}/{b}/{a}" for a in names_in(self.spark, f"{at}/{b}")} for b in names_in(self.spark, at) if b.startswith(f"{BUCKET}=")}
         return folders, {k: int(v) for k, v in seen.get.items()}
@@ -262,14 +263,27 @@ class Store:
         changes = [[a, p] for x in folders.values() for a, p in x.items() if a != KEEP]
         return self._commit(name, now, "merge", {b: p for b, p in (parts | new).items() if p}, schema=schema.json(), changes=changes, metrics=n, txns=now["txns"] | ({txn[0]: txn[1]} if txn else {}))
 
+    def compact(self, name: str, most: int = 8) -> int:
+        """Writes each bucket that consists of more than ``most`` folders as one, in a commit that changes no row. Appends add
+        a folder a time, so this keeps records, listings and files few. Returns the newest version."""
+        now = self._record(name)
+        many = {b: ps for b, ps in now["parts"].items() if len(ps) > most}
+        if not many:
+            return now["version"]
+        rows = self._files(sorted(p for ps in many.values() for p in ps), StructType.fromJson(json.loads(now["schema"])))
+        folders, n = self._write(name, now["version"] + 1, rows.withColumn(BUCKET, self._bucket(now)).withColumn(ACTION, F.lit(KEEP)), now)
+        return self._commit(name, now, "compact", {b: p for b, p in (now["parts"] | {b: [folders[b][KEEP]] if b in folders else [] for b in many}).items() if p}, metrics=n)
+
     def vacuum(self, name: str, keep: int = 1) -> int:
-        """Deletes data folders that none of the newest ``keep`` versions reads. Their change feed is gone with them."""
+        """Deletes data folders that none of the newest ``keep`` versions reads. Their change feed is gone with them. Folders of
+        writers that didn't commit go too once a later version stands, since they can't commit any more; those of writers at
+        work on the next version stay."""
         at = f"{self.root}/{name}/data"
         newest = self.version(name)
-        live = {p for v in range(max(0, newest - keep + 1), newest + 1) for ps in self._record(name, v)["parts"].values() for p in ps}
+        live = {p.removeprefix(f"{at}/").split("/")[0] for v in range(max(0, newest - keep + 1), newest + 1) for ps in self._record(name, v)["parts"].values() for p in ps}
         gone = 0
         for v in names_in(self.spark, at):
-            if not any(p.startswith(f"{at}/{v}/") for p in live):
+            if v not in live and int(v[1:].split("-")[0]) <= newest:
                 remove(self.spark, f"{at}/{v}")
                 gone += 1
         return gone
