@@ -52,3 +52,38 @@ def test_as_a_stream(spark, rows, tmp_path):
     assert rows(s.results()) == [(day(0), 3)]
     with pytest.raises(ValueError):
         stream(store, 0)
+
+
+def test_a_batch_writes_its_own_panes_only(spark, rows, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    s = stream(store, 3, 1)
+    s.apply(events(spark, *[(d, d) for d in range(20)]), 0)
+    s.apply(events(spark, (18, 20)), 1)
+    last = store.history("s.panes").orderBy(F.desc("version")).first()
+    assert (last["metrics"]["insert"], last["metrics"]["update"], last["metrics"]["keep"]) == (1, 0, 0)
+    assert rows(store.read("s.windows").where("batch = 1"), "window_start", "n") == [(day(16), 4), (day(17), 4), (day(18), 3)]
+
+
+@pytest.mark.parametrize("fold_every", [1, 64])
+def test_copies_in_later_batches_are_left_out(spark, rows, tmp_path, fold_every):
+    store = Store(spark, f"file://{tmp_path}")
+    s = PaneStream(store, "s", "at", "_batch_date", {"n": F.lit(1).cast("bigint"), "least": ("min", F.col("id")), "most": ("max", F.col("id"))}, 3, key=["id"], fold_every=fold_every)
+    first = events(spark, (0, 0), (1, 1))
+    s.apply(first.union(first), 0)
+    for number in (1, 1):
+        s.apply(first.withColumn("_batch_date", F.lit(day(2))).union(spark.createDataFrame([(7, dt.datetime.combine(day(1), dt.time(9)), day(2)), (None, dt.datetime.combine(day(1), dt.time(9)), day(2))], SCHEMA)), number)
+    assert rows(s.results()) == [(day(0), 1, 0, 0), (day(1), 2, 1, 7)]
+    s.apply(first.withColumn("_batch_date", F.lit(day(9))), 2)  # by now too late, remembered or not
+    assert rows(s.results(), "window_start", "n") == [(day(0), 1), (day(1), 2)]
+    if fold_every == 1:
+        assert rows(store.read("s.panes"), "n") == [(1,), (2,)]
+
+
+def test_windows_of_hours(spark, rows, tmp_path):
+    from tidemark.operators.panes import Windows
+
+    store = Store(spark, f"file://{tmp_path}")
+    s = PaneStream(store, "s", "at", "_batch_date", {"n": F.lit(1).cast("bigint")}, 3, windows=Windows(6 * 3600, 4 * 3600))
+    s.apply(events(spark, (0, 0)), 0)  # at 8 o'clock: panes of two hours, windows from 4 and from 8
+    assert rows(store.read("s.panes"), "pane") == [((dt.datetime(2024, 4, 1, 8) - dt.datetime(1970, 1, 1)) // dt.timedelta(hours=2),)]
+    assert rows(s.results()) == [(dt.datetime(2024, 4, 1, 4), 1), (dt.datetime(2024, 4, 1, 8), 1)]

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.panes import pane_changes, slice_events, window_results
+from tidemark.operators.panes import Windows, late_outcomes, pane_changes, slice_events, window_results
 
 BACKFILL = dt.date(2024, 3, 31)
 SCHEMA = "id int, at timestamp, price decimal(12,2), _batch_date date"
@@ -69,3 +69,35 @@ def test_empty_and_impossible_windows(spark, rows):
 def test_names_that_the_operator_adds_are_replaced(spark):
     df = events(spark, [(at(0), 1, day(0))]).withColumn("_pane", F.lit("mine")).withColumn("_outcome", F.lit(3))
     assert slice_events(df, "at", "_batch_date", 3).first()["_outcome"] == "on_time"
+
+
+def test_panes_are_as_wide_as_window_boundaries_allow(spark, rows):
+    month = Windows(30 * 86_400)
+    df = slice_events(events(spark, [(at(i), i, day(i)) for i in range(20)]), "at", "_batch_date", 3, windows=month)
+    assert month.pane == 30 * 86_400 and df.select("_pane").distinct().count() <= 2
+    how = {"n": F.lit(1), "least": ("min", F.col("price")), "most": ("max", F.col("price"))}
+    changes = pane_changes(df, "_batch_date", how)
+    last = window_results(changes, "_batch_date", how, windows=month).orderBy(F.desc("_batch_date")).first()
+    inside = [i for i in range(20) if dt.datetime.combine(day(i), dt.time(15)) >= last["window_start"]]
+    assert (last["n"], int(last["least"]), int(last["most"])) == (len(inside), min(inside), max(inside)) and last["window_end"] - last["window_start"] == dt.timedelta(days=30)
+    assert (Windows(6 * 3600, 4 * 3600).pane, Windows(86_400).pane, Windows(7 * 86_400, 86_400).pane) == (7200, 86_400, 86_400)
+    with pytest.raises(ValueError):
+        Windows(7, 7, 2)
+
+
+def test_outcomes_are_read_from_what_was_emitted(spark, rows):
+    df = slice_events(events(spark, [(at(0), 1, day(0)), (at(0), 1, day(2)), (at(0), 1, day(4)), (at(1), 1, day(4)), (at(-9), 1, BACKFILL), (at(3), 1, day(1))]), "at", "_batch_date", 3, BACKFILL)
+    emitted = window_results(pane_changes(df, "_batch_date", {"n": F.lit(1)}), "_batch_date", ["n"])
+    assert rows(late_outcomes(df, emitted, "_batch_date", "n", BACKFILL), "id", "_outcome") == [(1, "corrects"), (2, "too_late"), (3, "corrects")]
+    nothing = emitted.where("window_start <> DATE'2024-04-02'")  # a window that isn't emitted corrects nothing
+    assert rows(late_outcomes(df, nothing, "_batch_date", "n", BACKFILL), "id", "_outcome") == [(1, "corrects"), (2, "too_late"), (3, "too_late")]
+
+
+def test_p1_and_p4_go_through_their_methods(spark):
+    from tidemark.plans import found
+
+    folder = "/root/testdata/sf0.001"
+    p1 = found.p1_found(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert p1.count("Aggregate [_pane") == 1 and "Window [sum(item_count" in p1
+    p4 = found.p4_found(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "last(seller_city" in p4 and "segment" in p4 and "kind" in p4 and "parquet" in p4

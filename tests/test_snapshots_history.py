@@ -113,3 +113,33 @@ def test_empty_snapshots(spark, rows):
     df = snap(spark, [])
     assert rows(snapshot_changes(df, "k", A)) == [] and rows(history.versions(df, "k", A)) == []
     assert rows(asof.packed_histories(asof.attribute_changes(df, "k", A), "k", A)) == []
+
+
+@pytest.mark.parametrize("seed,every", [(7, 1), (8, 2), (9, 4)])
+def test_a_stored_history_takes_snapshots_as_they_come(spark, rows, tmp_path, seed, every):
+    data = random_snapshots(seed)
+    store = Store(spark, f"file://{tmp_path}")
+    kept = history.HistoryTable(store, "h", "k", A, every)
+    for part in ((0, 1), (2,), (2,), (3, 4), (0, 4)):  # some are delivered again
+        kept.add(snap(spark, [r for r in data if r[3] in part]))
+    assert rows(kept.versions(), "k", *A, "valid_from", "valid_to") == sorted(brute_versions(data), key=lambda t: tuple((x is not None, str(x)) for x in t))
+    assert rows(kept.log(), "k", "valid_from", "segment", "kind") == rows(history.history_log(snap(spark, data), "k", A, every=every), "k", "valid_from", "segment", "kind")
+    assert rows(kept.as_of(DAYS[2]), "k", *A) == sorted([v[:3] for v in brute_versions(data) if v[3] <= DAYS[2] and (v[4] is None or DAYS[2] < v[4])], key=lambda t: tuple((x is not None, str(x)) for x in t))
+
+
+def test_patches_logged_twice_start_no_version(spark, rows):
+    df = snap(spark, [("a", "x", "A", 0, 1), ("a", "y", None, 1, 1), ("a", "z", None, 4, 1)])
+    log = history.history_log(df, "k", A, every=8)
+    assert rows(history.fold_log(log.union(log.where("kind = 'patch'")), "k", A)) == rows(history.fold_log(log, "k", A))
+
+
+def test_a_days_snapshot_in_two_parts(spark, rows, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    part = lambda *r: snap(spark, list(r))
+    assert scd.apply_snapshots(store, "h", part(("a", "x", "A", 0, 1), ("b", "x", "A", 0, 1)), "k", A) == 1
+    assert scd.apply_snapshots(store, "h", part(("a", "y", "A", 1, 1), ("c", "p", "A", 1, 1)), "k", A) == 1
+    assert scd.apply_snapshots(store, "h", part(("b", "z", "A", 1, 2), ("d", "q", "A", 1, 2), ("c", "r", "A", 1, 2)), "k", A) == 1
+    assert scd.apply_snapshots(store, "h", part(("b", "z", "A", 1, 2), ("a", "old", "A", 0, 9)), "k", A) == 0
+    got = rows(store.read("h"), "k", "city", "valid_from", "valid_to", "is_current")
+    first = scd.BEGINNING
+    assert got == [("a", "x", first, DAYS[1], False), ("a", "y", DAYS[1], None, True), ("b", "x", first, DAYS[1], False), ("b", "z", DAYS[1], None, True), ("c", "r", first, None, True), ("d", "q", first, None, True)]

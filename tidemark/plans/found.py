@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import day_int
@@ -12,6 +12,7 @@ from tidemark.operators import asof, drift, history, panes, snapshots
 from tidemark.operators.changes import ChangedTable, is_delete
 from tidemark.operators.once import deliver_once
 from tidemark.session import scratch
+from tidemark.sources.store import Store
 from tidemark.sources.tables import table
 
 ITEM = ["order_id", "order_item_id"]
@@ -33,15 +34,23 @@ def sliced_items(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return panes.slice_events(items, "order_purchase_ts", "_batch_date", ALLOWED_DAYS, BACKFILL)
 
 
+def measures() -> dict[str, Column]:
+    """What is kept of each pane."""
+    return {"item_count": F.lit(1).cast("bigint"), "revenue": F.col("price")}
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    late = sliced_items(spark, folder).where((F.col("_lateness") > 0) & (F.col("_batch_date") > F.lit(BACKFILL)))
-    return late.select(*ITEM, day_int("_pane").alias("event_day"), F.col("_outcome").alias("outcome"))
+    """Late items by what they did to their day's window: they correct it where their batch emitted it again with more items.
+    Items are read once: both sides of the join start from the same exchange."""
+    sliced = sliced_items(spark, folder, "price")
+    emitted = panes.window_results(panes.pane_changes(sliced, "_batch_date", measures()), "_batch_date", measures())
+    late = panes.late_outcomes(sliced, emitted, "_batch_date", "item_count", BACKFILL)
+    return late.select(*ITEM, day_int("order_purchase_ts").alias("event_day"), F.col("_outcome").alias("outcome"))
 
 
 def _windows(spark: SparkSession, folder: str, size: int, slide: int) -> DataFrame:
-    sums = {"item_count": F.lit(1).cast("bigint"), "revenue": F.col("price")}
-    changes = panes.pane_changes(sliced_items(spark, folder, "price"), "_batch_date", sums)
-    out = panes.window_results(changes, "_batch_date", list(sums), size, slide)
+    changes = panes.pane_changes(sliced_items(spark, folder, "price"), "_batch_date", measures())
+    out = panes.window_results(changes, "_batch_date", measures(), size, slide)
     return out.select(
         day_int("window_start").alias("first_day"),
         day_int("_batch_date").alias("batch_day"),
@@ -94,14 +103,19 @@ def p3_table(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*ITEM, *DRIFTING, F.to_json("extra_fields").alias("extra_fields"), F.col("_feed").alias("feed"), day_int("_batch_date").alias("batch_day"))
 
 
+def _seller_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of checkpoints and patches is written to a table and the versions are read back from it."""
+    kept = history.HistoryTable(Store(spark, scratch(spark, "history")), "sellers", "seller_id", SELLER)
+    kept.add(table(spark, folder, "sellers"))
+    return kept.versions().withColumn("valid_from", day_int("valid_from")).withColumn("valid_to", F.coalesce(day_int("valid_to"), F.lit(-1)))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    v = history.versions(table(spark, folder, "sellers"), "seller_id", SELLER)
-    return v.select("seller_id", day_int("valid_from").alias("valid_from"), F.coalesce(day_int("valid_to"), F.lit(-1)).alias("valid_to"))
+    return _seller_history(spark, folder).select("seller_id", "valid_from", "valid_to")
 
 
 def p4_versions(spark: SparkSession, folder: str) -> DataFrame:
-    v = history.versions(table(spark, folder, "sellers"), "seller_id", SELLER)
-    return v.withColumn("valid_from", day_int("valid_from")).withColumn("valid_to", F.coalesce(day_int("valid_to"), F.lit(-1)))
+    return _seller_history(spark, folder)
 
 
 def known_items(spark: SparkSession, folder: str) -> DataFrame:

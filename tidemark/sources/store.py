@@ -144,9 +144,9 @@ class Store:
         folders = {b.split("=")[1]: {a.split("=")[1]: f"{at}/{b}/{a}" for a in names_in(self.spark, f"{at}/{b}")} for b in names_in(self.spark, at) if b.startswith(f"{BUCKET}=")}
         return folders, {k: int(v) for k, v in seen.get.items()}
 
-    def append(self, name: str, df: DataFrame, txn: tuple[str, int] | None = None) -> int:
-        """Adds rows. ``txn`` = (writer, number): a batch with a number no greater than the writer's last is skipped, which
-        makes a replayed micro-batch harmless."""
+    def append(self, name: str, df: DataFrame, txn: tuple[str, int] | None = None, properties: dict[str, str] | None = None) -> int:
+        """Adds rows, and sets ``properties`` in the same commit. ``txn`` = (writer, number): a batch with a number no greater
+        than the writer's last is skipped, which makes a replayed micro-batch harmless."""
         self.ensure(name, df.schema)
         now = self._record(name)
         if txn and now["txns"].get(txn[0], -1) >= txn[1]:
@@ -155,7 +155,7 @@ class Store:
         rows = df.select([f.name for f in schema.fields]).withColumn(BUCKET, self._bucket(now)).withColumn(ACTION, F.lit(INSERT))
         folders, n = self._write(name, now["version"] + 1, rows, now)
         parts = {b: now["parts"].get(b, []) + [x[INSERT]] for b, x in folders.items() if INSERT in x}
-        return self._commit(name, now, "append", now["parts"] | parts, changes=[[INSERT, x[INSERT]] for x in folders.values() if INSERT in x], metrics=n, txns=now["txns"] | ({txn[0]: txn[1]} if txn else {}))
+        return self._commit(name, now, "append", now["parts"] | parts, changes=[[INSERT, x[INSERT]] for x in folders.values() if INSERT in x], metrics=n, txns=now["txns"] | ({txn[0]: txn[1]} if txn else {}), properties=now.get("properties", {}) | (properties or {}))
 
     def overwrite(self, name: str, df: DataFrame, keys: list[str] = (), buckets: int = 1) -> int:
         """Replaces all rows and the schema in one commit; earlier versions stay readable."""

@@ -197,7 +197,7 @@ class Pipeline:
         return star.person_dimension(self.store.read("silver.customers"), self.orders(), "customer_unique_id", "customer_id", attributes, "order_purchase_ts")
 
     def _dim_seller(self) -> DataFrame:
-        return self.store.read("silver.seller_history").drop("attr_hash")
+        return self.store.read("silver.seller_history").drop("attr_hash", "seen_on")
 
     def _dim_date(self) -> DataFrame:
         """The calendar from the first to the last day that a fact has, at least that of the config."""
