@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import day_int
 from tidemark.operators import asof, drift, history, panes, snapshots
 from tidemark.operators.changes import ChangedTable, is_delete
-from tidemark.operators.once import deliver_once
+from tidemark.operators.once import DELIVERY, deliver_once
 from tidemark.session import scratch
+from tidemark.sources.contracts import CONTRACTS
 from tidemark.sources.store import Store
 from tidemark.sources.tables import table
 
@@ -82,6 +83,7 @@ def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _schemas(rows: DataFrame) -> DataFrame:
+    """Schemas of the deliveries by the columns that drift, nested fields as deep as they go."""
     narrow = rows.select("_feed", "_batch_date", *DRIFTING, "_rescued_data")
     return drift.delivery_schemas(narrow, "_feed", "_batch_date", DRIFTING, "_rescued_data")
 
@@ -96,11 +98,14 @@ def p3_scripts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows under the contract's columns, whichever way a delivery sent them, and everything else it sent."""
     rows = _deliveries(spark, folder)
-    schemas = _schemas(rows)
-    names = drift.steady_names(schemas, drift.schema_scripts(schemas), DRIFTING)
-    out = drift.unify(rows, "_feed", "_batch_date", DRIFTING, "_rescued_data", names, ["order_id", "order_item_id"])
-    return out.select(*ITEM, *DRIFTING, F.to_json("extra_fields").alias("extra_fields"), F.col("_feed").alias("feed"), day_int("_batch_date").alias("batch_day"))
+    columns, depth = CONTRACTS["order_items"].columns, drift.nesting(rows, "_rescued_data")
+    narrow = rows.select("_feed", "_batch_date", *[c for c in columns if c not in ITEM], "_rescued_data")
+    schemas = drift.delivery_schemas(narrow, "_feed", "_batch_date", [c for c in columns if c not in ITEM], "_rescued_data", depth)
+    names = drift.steady_names(schemas, drift.schema_scripts(schemas), columns)
+    out = drift.unify(rows.drop("_malformed", "_raw"), "_feed", "_batch_date", columns, "_rescued_data", names, ITEM, depth)
+    return out.select(*columns, F.to_json("extra_fields").alias("extra_fields"), F.col("_feed").alias("feed"), day_int("_batch_date").alias("batch_day"), "_source_file")
 
 
 def _seller_history(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,9 +148,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "order_items").drop("_raw", "_malformed", "_rescued_data")
-    kept = deliver_once(rows, ITEM, copies="copies")
-    return kept.select(*ITEM, "product_id", "seller_id", "price", "freight_value", day_int("_batch_date").alias("batch_day"), "copies")
+    """Whole rows; copies delivered by one file at one time are told apart by their values."""
+    said = ["product_id", "seller_id", "price", "freight_value"]
+    rows = table(spark, folder, "order_items").select(*ITEM, *said, *DELIVERY)
+    kept = deliver_once(rows, ITEM, (*DELIVERY, *said), copies="copies")
+    return kept.select(*ITEM, *said, day_int("_batch_date").alias("batch_day"), "copies")
 
 
 def _rebuilt(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:

@@ -94,6 +94,11 @@ FROM k JOIN l USING (seller_id) WHERE d IS NOT NULL AND valid_from IS DISTINCT F
     "p6_found": """
 SELECT order_id, order_item_id, arg_min(_source_file, (_batch_date, _ingested_at, _source_file)) AS kept_source_file
 FROM order_items WHERE order_id IS NOT NULL AND order_item_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
+    "p6_items": f"""
+SELECT order_id, order_item_id, product_id, seller_id, price, freight_value, {_day('_batch_date')} AS batch_day, copies
+FROM (SELECT *, count(*) OVER (PARTITION BY order_id, order_item_id) AS copies FROM order_items WHERE order_id IS NOT NULL AND order_item_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY order_id, order_item_id ORDER BY _batch_date NULLS LAST, _ingested_at NULLS LAST, _source_file NULLS LAST,
+    product_id NULLS LAST, seller_id NULLS LAST, price NULLS LAST, freight_value NULLS LAST) = 1)""",
     "p7_found": f"SELECT order_id, change_seq, order_status FROM ({_EXISTS})",
     "p7_orders": f"""
 SELECT order_id, customer_id, order_status, order_purchase_ts, order_approved_ts, order_delivered_carrier_ts,
