@@ -94,3 +94,14 @@ def test_nulls_empties_repeats_and_no_documents(spark):
     assert [r["actual_share"] for r in mixing.shares(mixing.mix(s.limit(0), t), t).collect()] == [0]
     with pytest.raises(ValueError):
         mixing.segments([(0.2, 1), (1, 1)])
+
+
+def test_a_source_that_may_not_be_used_leaves_the_others_whole(spark):
+    s = sizes(spark, {"a": 120, "b": 60, "never": 50})
+    t = targets(spark, ("a", 0.5, 1), ("b", 0.3, 1), ("never", 0.2, 0))
+    got = {r["source"]: r for r in mixing.shares(mixing.mix(s, t), t).collect()}
+    without = {r["source"]: r for r in mixing.shares(mixing.mix(s, t.where("max_repeats > 0")), t.where("max_repeats > 0")).collect()}
+    assert got["never"]["tokens"] == 0 and got["never"]["actual_share"] == 0
+    assert got["a"]["tokens"] == without["a"]["tokens"] > 0 and got["b"]["tokens"] == without["b"]["tokens"] > 0
+    only = targets(spark, ("never", 1.0, 0))
+    assert mixing.mix(s, only).count() == 0 and mixing.shares(mixing.mix(s, only), only).first()["actual_share"] == 0

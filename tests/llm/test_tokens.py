@@ -77,3 +77,24 @@ def test_nothing_is_shuffled_and_only_two_columns_are_read(spark, tmp_path):
     spark.createDataFrame([(1, "x", "y")], "doc_id bigint, text string, other string").write.parquet(f"{tmp_path}/d")
     plan = tokens.encode_corpus(spark.read.parquet(f"{tmp_path}/d"), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "other" not in plan
+
+
+def test_memory_is_bounded_by_bytes_however_odd_the_texts(reference):
+    """Texts without spaces: a hundred thousand distinct pieces of some hundred bytes, and a few of half a megabyte."""
+    import resource
+
+    rng = random.Random(3)
+    enc = Encoder(str(HERE / tokens.BYTE_BPE), memo_bytes=1 << 20)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    most = 0
+    for i in range(25):
+        texts = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([40, 200, 300]))) for _ in range(2000 if i else 4000)]
+        got = encode(enc, texts)
+        most = max(most, enc.held)
+        assert got[:3] == [reference.encode_ordinary(t) for t in texts[:3]]
+    assert most <= (1 << 20) + 4000 * 256 and len(enc.known) <= 10_000 and max(map(len, enc.known)) <= 256
+    long = "".join(rng.choice("xyz") for _ in range(500_000))
+    assert encode(enc, [long, long]) == [reference.encode_ordinary(long)] * 2 and long.encode() not in enc.known
+    encode(enc, ["a b"])
+    assert enc.used < 1000  # what the long text left was forgotten with the batch after it
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000

@@ -17,6 +17,8 @@ import numpy as np
 #: Code points of Unicode's White_Space property (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
+#: Pairs of tokens whose compatibility is remembered.
+PAIRS = 500_000
 #: What follows an apostrophe in a contraction that is a piece of its own (fixed values).
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
@@ -84,7 +86,7 @@ class Vocabulary:
                 until, x = rank[x], self.right[x]
             else:
                 until, y = rank[y] + 1, self.left[y]
-        if len(self._compatible) > 2_000_000:
+        if len(self._compatible) > PAIRS:
             self._compatible.clear()
         self._compatible[a, b] = answer
         return answer
@@ -189,15 +191,18 @@ class Pieces:
 
 
 SLOTS = 1 << 20
+#: Bytes of a piece that is remembered; longer ones are encoded wherever they stand.
+LONGEST_KEPT = 256
 
 
 class Encoder:
     """Encodes batches of texts. Equal pieces are encoded once: a table of keys answers the pieces seen before, comparing
-    all of their bytes; only new ones go through the dynamic programme. The memo is emptied when it holds ``memo`` pieces,
-    so memory is bounded however large the corpus."""
+    all of their bytes; only new ones go through the dynamic programme. Pieces of up to ``LONGEST_KEPT`` bytes are remembered,
+    until ``memo`` pieces or ``memo_bytes`` bytes are held; then, between two batches, all are forgotten. Longer pieces are
+    encoded for their batch only. So memory is bounded by these, ``PAIRS`` and the batch, however large and odd the corpus."""
 
-    def __init__(self, path: str, memo: int = 600_000):
-        self.vocabulary, self.pieces, self.memo = Vocabulary(path), Pieces(), memo
+    def __init__(self, path: str, memo: int = 600_000, memo_bytes: int = 48 << 20):
+        self.vocabulary, self.pieces, self.memo, self.memo_bytes = Vocabulary(path), Pieces(), memo, memo_bytes
         self._masks = np.array([0] + [(1 << (8 * i)) - 1 for i in range(1, 9)], dtype=np.uint64)
         self._forget()
 
@@ -205,11 +210,15 @@ class Encoder:
         self.low, self.high = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.uint64)
         self.size, self.entry = np.zeros(SLOTS, dtype=np.uint8), np.zeros(SLOTS, dtype=np.int32)
         self.known: dict[bytes, int] = {}
-        self.count, self.used = 0, 0
+        self.count, self.used, self.held = 0, 0, 0
         self.offset, self.length = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
         self.flat = np.zeros(1 << 18, dtype=np.int32)
 
+    def _full(self) -> bool:
+        return self.count > self.memo or self.held + 4 * self.used > self.memo_bytes
+
     def _learn(self, piece: bytes) -> int:
+        """Encodes a piece and returns its entry; the entry of a long one holds until the batch ends."""
         ids = self.vocabulary.encode_piece(piece)
         if self.count == len(self.offset):
             self.offset, self.length = np.resize(self.offset, 2 * self.count), np.resize(self.length, 2 * self.count)
@@ -218,7 +227,9 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.offset[self.count], self.length[self.count] = self.used, len(ids)
         self.used += len(ids)
-        self.known[piece] = self.count
+        if len(piece) <= LONGEST_KEPT:
+            self.known[piece] = self.count
+            self.held += len(piece)
         self.count += 1
         return self.count - 1
 
@@ -258,7 +269,7 @@ class Encoder:
         data = np.ascontiguousarray(data[base:end])
         if not len(filled):
             return counts, np.zeros(0, dtype=np.int32)
-        if self.count > self.memo:
+        if self._full():
             self._forget()
         first, before = self.pieces.split(data, (offsets[filled] - base).astype(np.int64))
         entries = self._entries(data, first)

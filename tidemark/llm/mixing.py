@@ -60,14 +60,14 @@ def sized(documents: DataFrame, targets: DataFrame, doc: str = "doc_id", text: s
 def demands(sizes: DataFrame, targets: DataFrame, source: str = "source", total_tokens: int | None = None) -> DataFrame:
     """One row per target source: tokens at hand, ``demand`` and the cap on repeats.
 
-    Without ``total_tokens`` the mix is the largest for which no source that has any tokens falls short of its share
-    within its cap. With a larger total a source gives all it may and falls short. Target rows with a null source or
+    Without ``total_tokens`` the mix is the largest for which no source that has any tokens, and may be used at all, falls short
+    of its share within its cap; a source with a cap of 0 gives nothing and reaches a share of 0. With a larger total a source gives all it may and falls short. Target rows with a null source or
     share are ignored; a cap of null means once.
     """
     held = sizes.groupBy(source).agg(F.sum("n_tokens").alias("held"))
     rows = targets.where(F.col(source).isNotNull() & (F.col("target_share") > 0)).groupBy(source).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     known = rows.join(held, source, "left").select(source, "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"), F.coalesce("held", F.lit(0)).cast("double").alias("held"))
-    able = F.when(F.col("held") > 0, F.col("held") * F.col("max_repeats") / F.col("target_share"))
+    able = F.when((F.col("held") > 0) & (F.col("max_repeats") > 0), F.col("held") * F.col("max_repeats") / F.col("target_share"))
     everywhere = Window.partitionBy(F.lit(0))  # one row a source
     total = F.lit(float(total_tokens)) if total_tokens else F.min(able).over(everywhere)
     return known.withColumn("_total", total).withColumn("demand", F.least(F.coalesce(F.col("_total") * F.col("target_share"), F.lit(0.0)), F.col("held") * F.col("max_repeats"))).drop("_total")
