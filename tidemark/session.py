@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,14 +33,17 @@ def local_session(app: str = "tidemark", cores: int = 8, shuffle_partitions: int
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is made and set as the session's
-    checkpoint folder.
+    Only where that setting is absent and the master is local (tests, a single machine) a temporary folder is made and set as
+    the session's checkpoint folder. On a cluster without it this raises: each executor would write to its own disk, and what
+    is read back would lack the rest.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jdir.get() if jdir.isDefined() else None
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
