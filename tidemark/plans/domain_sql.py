@@ -40,10 +40,15 @@ _ITEMS = f"""
     CASE WHEN _batch_date > DATE '2024-03-31' THEN CAST(date_diff('day', CAST(order_purchase_ts AS DATE), _batch_date) AS INTEGER) ELSE 0 END AS arrival_lag_days
   FROM ({_CHECKED_ITEMS}) WHERE len(failed) = 0
   QUALIFY row_number() OVER (PARTITION BY order_id, order_item_id ORDER BY {_DELIVERED}) = 1"""
-_LOG = f"""
-  SELECT * FROM ({_CHECKED_CHANGES}) WHERE len(failed) = 0 AND lower(trim(coalesce(_op, ''))) NOT IN {DELETES}
+_DELETED = f"lower(trim(coalesce(_op, ''))) IN {DELETES}"
+#: Every change once, deletes too; of each order the change that decides.
+_WHOLE_LOG = f"""
+  SELECT *, {_DELETED} AS deleted FROM ({_CHECKED_CHANGES}) WHERE len(failed) = 0
   QUALIFY row_number() OVER (PARTITION BY order_id, change_seq ORDER BY {_DELIVERED}) = 1"""
-_ORDERS = f"SELECT * FROM ({_LOG}) QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY change_seq DESC) = 1"
+_LOG = f"SELECT * FROM ({_WHOLE_LOG}) WHERE NOT deleted"
+_LATEST = f"SELECT * FROM ({_WHOLE_LOG}) QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY change_seq DESC) = 1"
+_ORDERS = f"SELECT * FROM ({_LATEST}) WHERE NOT deleted"
+_GONE = f"SELECT order_id FROM ({_LATEST}) WHERE deleted"
 _CUSTOMERS = f"""
   SELECT * FROM ({_CHECKED_CUSTOMERS}) WHERE len(failed) = 0
   QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY _batch_date DESC NULLS LAST, _ingested_at DESC NULLS LAST, customer_city DESC NULLS LAST) = 1"""
@@ -77,7 +82,8 @@ _FACT = f"""
     CASE WHEN o.order_delivered_customer_ts IS NOT NULL THEN CAST(o.order_delivered_customer_ts AS DATE) <= CAST(o.order_estimated_delivery_ts AS DATE) END AS is_on_time,
     i.arrival_lag_days, {_day('s.valid_from')} AS version_from, s.seller_state
   FROM ({_ITEMS}) i LEFT JOIN ({_ORDERS}) o USING (order_id) LEFT JOIN ({_CUSTOMERS}) c ON c.customer_id = o.customer_id
-  LEFT JOIN ({_SELLERS}) s ON s.seller_id = i.seller_id AND i.event_date >= s.valid_from AND (s.valid_to IS NULL OR i.event_date < s.valid_to)"""
+  LEFT JOIN ({_SELLERS}) s ON s.seller_id = i.seller_id AND i.event_date >= s.valid_from AND (s.valid_to IS NULL OR i.event_date < s.valid_to)
+  WHERE i.order_id NOT IN ({_GONE})"""
 
 _STAGES = {"hours_to_approve": ("purchase_ts", "approved_ts"), "hours_to_ship": ("approved_ts", "shipped_ts"), "hours_in_transit": ("shipped_ts", "delivered_ts"), "hours_total": ("purchase_ts", "delivered_ts")}
 _ORDER_FACT = f"""
@@ -97,12 +103,15 @@ _ORDER_FACT = f"""
   FROM s LEFT JOIN e USING (order_id) LEFT JOIN l USING (order_id) LEFT JOIN r USING (order_id) LEFT JOIN ({_CUSTOMERS}) c ON c.customer_id = s.customer_id"""
 
 _BACKLOG = f"""
-  WITH g AS (SELECT * FROM ({_LOG}) WHERE change_ts IS NOT NULL),
-  d AS (SELECT order_id, customer_id, CAST(change_ts AS DATE) AS cd, change_seq, CAST(order_purchase_ts AS DATE) AS p, CAST(order_estimated_delivery_ts AS DATE) AS e
+  WITH g AS (SELECT * FROM ({_WHOLE_LOG}) WHERE change_ts IS NOT NULL),
+  d AS (SELECT order_id, customer_id, CAST(change_ts AS DATE) AS cd, change_seq, CAST(order_purchase_ts AS DATE) AS p, CAST(order_estimated_delivery_ts AS DATE) AS e, deleted
         FROM g QUALIFY row_number() OVER (PARTITION BY order_id, CAST(change_ts AS DATE) ORDER BY change_seq DESC) = 1),
   w AS (SELECT *, max(change_seq) OVER (PARTITION BY order_id ORDER BY cd ROWS UNBOUNDED PRECEDING) AS sq,
         coalesce(lead(cd) OVER (PARTITION BY order_id ORDER BY cd) - 1, (SELECT max(CAST(change_ts AS DATE)) FROM g)) AS until FROM d),
-  o AS (SELECT w.*, g.order_status, greatest(cd, p) AS start FROM w JOIN g ON g.order_id = w.order_id AND g.change_seq = w.sq WHERE g.order_status IN {OPEN}),
+  f AS (SELECT w.order_id, w.cd, w.until, g.order_status, CASE WHEN w.deleted THEN g.customer_id ELSE w.customer_id END AS customer_id,
+        CASE WHEN w.deleted THEN CAST(g.order_purchase_ts AS DATE) ELSE w.p END AS p, CASE WHEN w.deleted THEN CAST(g.order_estimated_delivery_ts AS DATE) ELSE w.e END AS e
+        FROM w JOIN g ON g.order_id = w.order_id AND g.change_seq = w.sq WHERE NOT g.deleted AND g.order_status IN {OPEN}),
+  o AS (SELECT *, greatest(cd, p) AS start FROM f),
   x AS (SELECT o.*, CAST(unnest(generate_series(start, until, INTERVAL 1 DAY)) AS DATE) AS sd FROM o WHERE start <= until),
   v AS (SELECT order_id, sum(price) AS v FROM ({_ITEMS}) GROUP BY 1)
   SELECT {_key('sd')} AS snapshot_date_key, order_status, coalesce(customer_state, 'unknown') AS customer_state, count(*) AS open_orders,
