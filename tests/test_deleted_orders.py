@@ -35,7 +35,7 @@ def test_facts_leave_deleted_orders_out(spark, rows):
     made = star.fulfillment_fact(log, none(spark, ITEMS), none(spark, CUSTOMERS), None, ["canceled"])
     assert rows(made, "order_id", "current_status", "end_reason", "last_change_seq") == [("back", "shipped", None, 3)]
     items = spark.createDataFrame([(o, 1, "p", "s", ts(1), Decimal(1), Decimal(1), 0) for o in ("gone", "back", "new")], "order_id string, order_item_id int, product_id string, seller_id string, order_purchase_ts timestamp, price decimal(12,2), freight_value decimal(12,2), arrival_lag_days int")
-    sellers = none(spark, "seller_id string, version_key bigint, valid_from date, valid_to date")
+    sellers = none(spark, "seller_id string, seller_sk bigint, valid_from date, valid_to date")
     assert rows(star.item_fact(items, log.where("change_seq = 3"), none(spark, CUSTOMERS), sellers, ["canceled"]), "order_id", "order_status") == [("back", "shipped"), ("new", "unknown")]
 
 

@@ -57,13 +57,13 @@ def fact_inputs(spark):
     items = spark.createDataFrame([(o, i, "p", s, ts(d), Decimal(p), Decimal(1), 0, "extra") for o, i, s, d, p in (("o1", 1, "s", 2, 100), ("o1", 2, "s", 2, 30), ("o2", 1, "s", 8, 50), ("o3", 1, "t", 8, 7))], "order_id string, order_item_id int, product_id string, seller_id string, order_purchase_ts timestamp, price decimal(12,2), freight_value decimal(12,2), arrival_lag_days int, customer_id string")
     orders = changes(spark, ("o1", "c1", "delivered", ts(2), None, None, ts(4), ts(4, 9), 1, ts(4)), ("o2", "c2", "canceled", ts(8), None, None, None, ts(9), 1, ts(8)))
     customers = spark.createDataFrame([("c1", "u", "S")], CUSTOMERS)
-    sellers = spark.createDataFrame([("s", 1, dt.date(1900, 1, 1), dt.date(2024, 6, 5), "SP", False, "x"), ("s", 2, dt.date(2024, 6, 5), None, "PR", True, "y")], "seller_id string, version_key bigint, valid_from date, valid_to date, seller_state string, is_current boolean, seller_city string")
+    sellers = spark.createDataFrame([("s", 1, dt.date(1900, 1, 1), dt.date(2024, 6, 5), "SP", False, "x"), ("s", 2, dt.date(2024, 6, 5), None, "PR", True, "y")], "seller_id string, seller_sk bigint, valid_from date, valid_to date, seller_state string, is_current boolean, seller_city string")
     return items, orders, customers, sellers
 
 
 def test_item_fact_point_in_time_and_unknown_orders(spark, rows):
     fact = star.item_fact(*fact_inputs(spark), ["canceled"], rows_per_task=1)
-    assert rows(fact, "order_id", "order_item_id", "seller_version_key", "order_status", "is_canceled", "is_delivered", "is_on_time", "customer_unique_id") == [
+    assert rows(fact, "order_id", "order_item_id", "seller_sk", "order_status", "is_cancelled", "is_delivered", "is_on_time", "customer_unique_id") == [
         ("o1", 1, 1, "delivered", False, True, True, "u"), ("o1", 2, 1, "delivered", False, True, True, "u"), ("o2", 1, 2, "canceled", True, False, None, None), ("o3", 1, None, "unknown", None, False, None, None)]
 
 

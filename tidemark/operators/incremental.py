@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.store import Store
+from tidemark.sources.store import Store, merge_hash_guarded
 
 WATERMARKS, STATS = "ops.watermarks", "ops.refresh_stats"
 FULL, INCREMENTAL = "full", "incremental"
@@ -73,9 +73,19 @@ def only(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
     return rows if ids is None else rows.join(ids, ids.columns, "left_semi")
 
 
-def refresh(store: Store, target: str, sources: list[str], mapping: dict[str, Mapping], build_and_merge: Callable[[DataFrame | None], None], full: bool = False) -> Plan:
+def merge_rebuilt(store: Store, name: str, hashed: DataFrame, keys: list[str], changed: DataFrame | None) -> None:
+    """Merges rows built anew for the changed ids (None: all) by their hash; rows of these ids that are no more are deleted."""
+    merge_hash_guarded(store, name, hashed, keys, delete_missing=changed is None)
+    if changed is not None:
+        gone = only(store.read(name), changed).select(keys).join(hashed.select(keys), keys, "left_anti")
+        if not gone.isEmpty():
+            store.delete(name, gone)
+
+
+def refresh(store: Store, target: str, sources: list[str], mapping: dict[str, Mapping], build_and_merge: Callable[[DataFrame | None], None], full: bool = False, total: Callable[[], DataFrame] | None = None) -> Plan:
     """Plans, builds and merges, and only then moves the watermarks: a failed run starts again with the same changes.
-    Without any change nothing is built and the watermarks still move."""
+    Without any change nothing is built and the watermarks still move. ``total`` gives the ids there are, for the statistics:
+    how many of them were processed."""
     p = plan(store, target, sources, full)
     ids = changed_ids(p, mapping)
     count = -1
@@ -90,6 +100,7 @@ def refresh(store: Store, target: str, sources: list[str], mapping: dict[str, Ma
     if ids is not None:
         ids.unpersist()
     save_watermarks(store, target, p.versions)
-    stats = store.spark.createDataFrame([(target, p.mode, p.reason, count)], "target string, mode string, reason string, changed_ids bigint")
+    every = total().distinct().count() if total else -1
+    stats = store.spark.createDataFrame([(target, p.mode, p.reason, count, every if count < 0 else count, every)], "target string, mode string, reason string, changed_ids bigint, processed_ids bigint, total_ids bigint")
     store.append(STATS, stats)
     return p

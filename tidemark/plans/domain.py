@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.columns import day_int
-from tidemark.operators import history, incremental, quality, reconcile, replay, scd, star
+from tidemark.operators import history, incremental, quality, reconcile, replay, reports, scd, star
 from tidemark.operators.changes import is_delete
 from tidemark.operators.once import DELIVERY, deliver_once
 from tidemark.operators.panes import slice_events
+from tidemark.operators.rules import rules_of
 from tidemark.plans.found import ALLOWED_DAYS, BACKFILL, ITEM, SELLER
 from tidemark.session import scratch
 from tidemark.sources import landing
@@ -21,9 +23,9 @@ from tidemark.sources.store import Store, merge_forward_only, merge_hash_guarded
 from tidemark.sources.tables import table
 from tidemark.streaming.ingest import each_batch, ingest
 from tidemark.streaming.pipeline import with_lateness
+from tidemark.streaming.replayer import Replay
 
-#: The states of the feed's contract.
-STATES = ["created", "approved", "invoiced", "processing", "shipped", "delivered", "canceled", "unavailable"]
+#: The states in which an order is open, and those that end it otherwise than by delivery.
 OPEN, ENDED = ["created", "approved", "invoiced", "processing", "shipped"], ["canceled", "unavailable"]
 #: The latest delivery of a customer; of one delivery's rows the greatest city.
 LATEST_CUSTOMER = ("_batch_date", "_ingested_at", "customer_city")
@@ -37,9 +39,12 @@ MILESTONES = {"approved": "order_approved_ts", "shipped": "order_delivered_carri
 
 
 def src_lineage(spark: SparkSession, folder: str) -> DataFrame:
-    path = F.col("_source_file")
-    rows = table(spark, folder, "order_items").select(landing.feed_of(path).alias("feed"), landing.batch_date_of(path).alias("d"), "_batch_date")
-    return rows.groupBy("feed", day_int("d").alias("path_day")).agg(F.count("*").alias("row_count"), F.count_if(F.col("d") == F.col("_batch_date")).alias("agree"))
+    """Rows by feed and day, all read by the landing scan: files are dropped under the days and names that rows came by."""
+    at, path = scratch(spark, "landing"), F.col("_source_file")
+    rows = table(spark, folder, "order_items").select("order_id", "order_item_id", "_batch_date", F.coalesce(landing.feed_of(path), F.lit("none")).alias("feed"))
+    rows.withColumn("batch_date", F.col("_batch_date").cast("string")).drop("_batch_date").repartition("batch_date", "feed").write.partitionBy("batch_date", "feed").json(f"{at}/order_items")
+    seen = landing.scan(spark, f"{at}/order_items", CONTRACTS["order_items"])
+    return seen.groupBy(landing.feed_of(F.col("_source_file")).alias("feed"), day_int("_batch_date").alias("path_day")).agg(F.count("*").alias("row_count"), F.count_if("_malformed").alias("malformed"))
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,15 +67,34 @@ def src_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def src_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    days = table(spark, folder, "sellers").select("_batch_date").distinct()
-    order = Window.orderBy("_batch_date")
-    return days.select(day_int("_batch_date").alias("batch_day"), day_int(F.lead("_batch_date").over(order)).alias("next_day"))
+    """Snapshots dropped in dated folders and found one after the other from the listing."""
+    at = scratch(spark, "landing")
+    rows = table(spark, folder, "sellers").select("seller_id", F.col("_batch_date").cast("string").alias("batch_date"))
+    rows.repartition("batch_date").write.partitionBy("batch_date").parquet(at)
+    found, day = [], None
+    while (day := landing.next_snapshot(spark, at, day)) is not None:
+        found.append(day)
+    return spark.createDataFrame(list(zip(found, [*found[1:], None])), "day date, next date").select(day_int("day").alias("batch_day"), day_int("next").alias("next_day"))
 
 
 def src_rescued_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields the contract doesn't know, by the parser: rows are written as lines with what was rescued from them and parsed
+    again."""
     rows = table(spark, folder, "order_items").where(F.col("_rescued_data").isNotNull())
-    each = rows.select("_batch_date", F.explode(F.json_object_keys("_rescued_data")).alias("field_name"))
-    return each.groupBy(day_int("_batch_date").alias("batch_day"), "field_name").agg(F.count("*").alias("row_count"))
+    sent = F.to_json(F.map_concat(F.map_filter(F.from_json("_rescued_data", "map<string,string>"), lambda k, v: v.isNotNull()), F.create_map(F.lit("order_id"), F.coalesce("order_id", F.lit("")))))
+    seen = parse_lines(rows.select("_batch_date", sent.alias("value")), CONTRACTS["order_items"].schema)
+    each = seen.where(F.col("_rescued_data").isNotNull()).select("_batch_date", F.explode(F.json_object_keys("_rescued_data")).alias("field_name"))
+    unknown = each.where(~F.col("field_name").isin(CONTRACTS["order_items"].columns))
+    return unknown.groupBy(day_int("_batch_date").alias("batch_day"), "field_name").agg(F.count("*").alias("row_count"))
+
+
+def src_one_day(spark: SparkSession, folder: str) -> DataFrame:
+    """One day of rows staged by day: the scan reads that day's folder only."""
+    at = scratch(spark, "staging")
+    rows = table(spark, folder, "customers").select(*CONTRACTS["customers"].columns, F.col("_batch_date").alias("_delivery_date"))
+    replay.stage(rows, at)
+    last = table(spark, folder, "customers").agg(F.max("_batch_date")).first()[0]
+    return replay.staged_day(spark, at, last).select(*CONTRACTS["customers"].columns)
 
 
 def str_ingest(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +107,15 @@ def str_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{at}/bronze").select(*c.columns, day_int("_batch_date").alias("batch_day"), "_malformed")
 
 
+def str_ingest_parquet(spark: SparkSession, folder: str) -> DataFrame:
+    """Seller snapshots dropped as Parquet, a folder a day, ingested by a file stream."""
+    at, c = scratch(spark, "landing"), CONTRACTS["sellers"]
+    rows = table(spark, folder, "sellers").select(*c.columns, F.col("_batch_date").cast("string").alias("batch_date"))
+    rows.repartition("batch_date").write.partitionBy("batch_date").parquet(f"{at}/sellers")
+    ingest(spark, f"{at}/sellers", f"{at}/bronze", f"{at}/checkpoint", c)
+    return spark.read.parquet(f"{at}/bronze").select(*c.columns, day_int("_batch_date").alias("batch_day"))
+
+
 def str_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """A table kept by micro-batches: customers streamed through a merge, the latest delivery standing."""
     at, c = scratch(spark, "stream"), CONTRACTS["customers"]
@@ -101,31 +134,22 @@ def str_upsert(spark: SparkSession, folder: str) -> DataFrame:
 # -- rules and silver tables
 
 
-def item_rules() -> list[quality.Rule]:
-    return [
-        *quality.key_rules(*ITEM),
-        quality.Rule("price_not_positive", F.col("price").isNull() | (F.col("price") <= 0)),
-        quality.Rule("freight_negative", F.col("freight_value") < 0),
-        *quality.lookup_rules("product_id", "_known"),
-        quality.lateness_rule("order_purchase_ts", ALLOWED_DAYS, BACKFILL),
-    ]
+def item_rules(rows: DataFrame) -> list[quality.Rule]:
+    return rules_of("order_items", rows, allowed_days=ALLOWED_DAYS, backfill=BACKFILL)
 
 
 def checked_items(spark: SparkSession, folder: str) -> DataFrame:
     flagged = quality.known_flag(table(spark, folder, "order_items"), "product_id", table(spark, folder, "products"), "_known")
-    return quality.evaluate(flagged, item_rules())
+    return quality.evaluate(flagged, item_rules(flagged))
 
 
-def change_rules() -> list[quality.Rule]:
-    return [
-        *quality.key_rules("order_id", "change_seq", "change_ts", malformed=None),
-        quality.domain_rule("unknown_status", "order_status", STATES),
-        *quality.order_rules([("delivered_before_purchase", "order_purchase_ts", "order_delivered_customer_ts"), ("change_before_purchase", "order_purchase_ts", "change_ts")]),
-    ]
+def checked(spark: SparkSession, folder: str, feed: str) -> DataFrame:
+    rows = table(spark, folder, feed)
+    return quality.evaluate(rows, rules_of(feed, rows))
 
 
 def checked_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.evaluate(table(spark, folder, "orders_cdc"), change_rules())
+    return checked(spark, folder, "orders_cdc")
 
 
 def silver_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +178,7 @@ def silver_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def silver_customers(spark: SparkSession, folder: str) -> DataFrame:
-    good = quality.split(quality.evaluate(table(spark, folder, "customers"), quality.key_rules("customer_id", "customer_unique_id", malformed=None)))[0]
+    good = quality.split(checked(spark, folder, "customers"))[0]
     return deliver_once(good, ["customer_id"], LATEST_CUSTOMER, first=False)
 
 
@@ -188,24 +212,39 @@ def slv_products(spark: SparkSession, folder: str) -> DataFrame:
     return silver_products(spark, folder).select(*CONTRACTS["products"].columns, day_int("_batch_date").alias("batch_day"))
 
 
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Stand-in for the feed of reviews, which the test tables lack: one for each change that shows a delivery, in text as files
+    hold it; scores from 0 to 6, answered the day after or not at all."""
+    rows = table(spark, folder, "orders_cdc").where(F.col("order_delivered_customer_ts").isNotNull() & F.col("order_purchase_ts").isNotNull() & F.col("change_seq").isNotNull())
+    score, created = F.minute("order_purchase_ts") % 7, F.col("order_delivered_customer_ts")
+    answered = F.when(F.second("order_purchase_ts") % 3 > 0, created + F.make_dt_interval(F.col("change_seq")))
+    text = {"review_id": F.col("order_id"), "order_id": F.when(score < 6, F.col("order_id")), "review_score": score, "review_creation_date": created, "review_answer_timestamp": answered}
+    return rows.select(*[c.cast("string").alias(k) for k, c in text.items()], *DELIVERY)
+
+
+def typed_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    typed = replay.project(reviews(spark, folder), replay.REVIEW_COLUMNS, DELIVERY)
+    return quality.evaluate(typed, rules_of("reviews", typed))
+
+
+def slv_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Of a review delivered again the latest stands, in one delivery the one answered last."""
+    good = quality.split(typed_reviews(spark, folder))[0]
+    kept = deliver_once(good, ["review_id", "order_id"], ("_batch_date", "review_answer_ts", "_ingested_at", "_source_file", "review_creation_ts", "review_score"), first=False)
+    return kept.select("review_id", "order_id", "review_score", "review_creation_ts", "review_answer_ts", day_int("_batch_date").alias("batch_day"))
+
+
 # -- quality
 
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of items, changes, customers and snapshots, by table, day and rule."""
-    customers = quality.key_rules("customer_id", "customer_unique_id", malformed=None)
-    parts = [
-        quality.metrics(checked_items(spark, folder), item_rules(), "order_items"),
-        quality.metrics(checked_changes(spark, folder), change_rules(), "orders_cdc"),
-        quality.metrics(quality.evaluate(table(spark, folder, "customers"), customers), customers, "customers"),
-    ]
-    for name, key in (("sellers", "seller_id"), ("products", "product_id")):
-        rules = quality.key_rules(key, malformed=None)
-        parts.append(quality.metrics(quality.evaluate(table(spark, folder, name), rules), rules, name))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    items = checked_items(spark, folder)
+    parts = [quality.metrics(items, item_rules(items), "order_items")]
+    for feed in ("orders_cdc", "customers", "sellers", "products"):
+        rows = checked(spark, folder, feed)
+        parts.append(quality.metrics(rows, rules_of(feed, rows), feed))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def dq_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,6 +269,38 @@ def dq_rule_hits(spark: SparkSession, folder: str) -> DataFrame:
     return bad.select("_batch_date", F.explode("_failed_rules").alias("rule")).groupBy(day_int("_batch_date").alias("batch_day"), "rule").agg(F.count("*").alias("row_count"))
 
 
+def dq_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """Duplicates of a run: items after the backfill against themselves and against what the backfill loaded."""
+    rows = table(spark, folder, "order_items").where(~quality.missing(*ITEM)).select(*ITEM, "_batch_date")
+    before = rows.where(F.col("_batch_date") <= F.lit(BACKFILL)).select(*ITEM).distinct()
+    found = quality.duplicate_metrics(rows.where(F.col("_batch_date") > F.lit(BACKFILL)), ITEM, "order_items", loaded=before)
+    return found.withColumn("batch_date", day_int("batch_date"))
+
+
+def dq_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    seen = typed_reviews(spark, folder)
+    return quality.metrics(seen, rules_of("reviews", seen), "reviews").withColumn("batch_date", day_int("batch_date"))
+
+
+def dq_observed(spark: SparkSession, folder: str) -> DataFrame:
+    """Expectations that only count: hits of the rules of customers and changes, observed while the rows pass by."""
+    out = []
+    for feed in ("customers", "orders_cdc"):
+        rows, seen = table(spark, folder, feed), Observation()
+        quality.observe(rows, rules_of(feed, rows), seen).write.format("noop").mode("overwrite").save()
+        out += [(feed, rule, n) for rule, n in seen.get.items()]
+    return spark.createDataFrame(out, "table_name string, rule string, row_count bigint")
+
+
+def dq_milestones(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.table_metric(order_fact(spark, folder), "fact_order_fulfillment", "inconsistent_milestones", F.col("has_inconsistent_milestones")).drop("batch_date")
+
+
+def gate_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Each day's delivery as a run of its own."""
+    return quality.gate(_metrics(spark, folder), THRESHOLD, run="batch_date").withColumn("batch_date", day_int("batch_date"))
+
+
 def dq_gate(spark: SparkSession, folder: str) -> DataFrame:
     return quality.gate(_metrics(spark, folder), THRESHOLD)
 
@@ -278,6 +349,34 @@ def mrg_delete_missing(spark: SparkSession, folder: str) -> DataFrame:
     return _city(store.read("customers"))
 
 
+def mrg_update(spark: SparkSession, folder: str) -> DataFrame:
+    """UPDATE: the city of customers of the backfill without one is set."""
+    store, _ = _customers_store(spark, folder)
+    store.update("customers", F.col("customer_city").isNull() | (F.col("customer_state") == "SP"), customer_city=F.upper(F.coalesce("customer_city", F.lit("nowhere"))))
+    return _city(store.read("customers"))
+
+
+def mrg_overwrite(spark: SparkSession, folder: str) -> DataFrame:
+    """CREATE OR REPLACE: rows and columns are replaced, the version before stays readable."""
+    store, after = _customers_store(spark, folder)
+    before = store.version("customers")
+    store.overwrite("customers", after.select("customer_id", "customer_city", "_batch_date"))
+    now = store.read("customers").select(F.lit("now").alias("version"), "customer_id", "customer_city")
+    return now.unionByName(store.read("customers", before).select(F.lit("before").alias("version"), "customer_id", "customer_city"))
+
+
+def mrg_guarded_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """What a guarded merge with delete-missing did, and the rows that its change feed tells of."""
+    store = Store(spark, scratch(spark, "tables"))
+    for rows in _halves(spark, folder):
+        content = rows.select("customer_id", "customer_city", "customer_state")
+        hashed = content.withColumn("row_hash", star.row_hash(content, ["customer_id"]))
+        store.ensure("customers", hashed.schema, ["customer_id"])
+        merge_hash_guarded(store, "customers", hashed, ["customer_id"], delete_missing=True)
+    feed = store.changes("customers", 1, 2)
+    return feed.groupBy(F.col("_change_type").alias("change_type")).agg(F.count("*").alias("row_count"))
+
+
 def mrg_forward_only(spark: SparkSession, folder: str) -> DataFrame:
     """Each order's latest change, from the second half of the feed merged first and the first half after it. Deletes stay
     in the table, so that the first half can't bring their orders back, and are left out of the result."""
@@ -334,7 +433,7 @@ def late_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def seller_dimension(spark: SparkSession, folder: str) -> DataFrame:
-    return scd.as_dimension(history.versions(table(spark, folder, "sellers"), "seller_id", SELLER), "seller_id", SELLER)
+    return scd.as_dimension(history.versions(table(spark, folder, "sellers"), "seller_id", SELLER), "seller_id", SELLER).withColumnRenamed("version_key", "seller_sk")
 
 
 def item_fact(spark: SparkSession, folder: str) -> DataFrame:
@@ -359,8 +458,8 @@ def gold_dim_product(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gold_fact_order_item(spark: SparkSession, folder: str) -> DataFrame:
-    f, d = item_fact(spark, folder), seller_dimension(spark, folder).select(F.col("version_key").alias("seller_version_key"), day_int("valid_from").alias("version_from"))
-    return f.join(d, "seller_version_key", "left").drop("seller_version_key")
+    f, d = item_fact(spark, folder), seller_dimension(spark, folder).select("seller_sk", day_int("valid_from").alias("version_from"))
+    return f.join(d, "seller_sk", "left").drop("seller_sk")
 
 
 def gold_fact_order_fulfillment(spark: SparkSession, folder: str) -> DataFrame:
@@ -405,7 +504,7 @@ def _refreshed(spark: SparkSession, folder: str) -> tuple[Store, incremental.Pla
     plan = None
     for part in (F.col("_batch_date") <= F.lit(BACKFILL), F.col("_batch_date") > F.lit(BACKFILL)):
         merge_insert_new(store, "items", rows.where(part), ITEM)
-        plan = incremental.refresh(store, "totals", ["items"], {"items": lambda c: c.select("order_id")}, build)
+        plan = incremental.refresh(store, "totals", ["items"], {"items": lambda c: c.select("order_id")}, build, total=lambda: store.read("items").select("order_id"))
     return store, plan
 
 
@@ -414,19 +513,65 @@ def inc_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inc_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return _refreshed(spark, folder)[0].read(incremental.STATS).select("mode", "reason", "changed_ids")
+    """How each refresh was done, and how many orders it processed of how many there are."""
+    return _refreshed(spark, folder)[0].read(incremental.STATS).select("mode", "reason", "changed_ids", "processed_ids", "total_ids")
+
+
+def inc_fulfillment(spark: SparkSession, folder: str) -> DataFrame:
+    """The accumulating snapshot kept by refreshes: in full after the backfill, then for the orders that changed."""
+    store = Store(spark, scratch(spark, "tables"))
+    log, items, scored = change_log(spark, folder), silver_items(spark, folder), scores(spark, folder)
+    people = silver_customers(spark, folder)
+    store.ensure("changes", log.schema, ["order_id", "change_seq"], 4)
+    store.ensure("items", items.schema, ITEM, 4)
+
+    def build(ids: DataFrame | None) -> None:
+        fact = star.fulfillment_fact(incremental.only(store.read("changes"), ids), incremental.only(store.read("items"), ids), people, incremental.only(scored, ids), ENDED)
+        hashed = fact.withColumn("row_hash", star.row_hash(fact, ["order_id"]))
+        store.ensure("fact", hashed.schema, ["order_id"], 4)
+        incremental.merge_rebuilt(store, "fact", hashed, ["order_id"], ids)
+
+    ids = lambda c: c.select("order_id")
+    for part in (F.col("_batch_date") <= F.lit(BACKFILL), F.col("_batch_date") > F.lit(BACKFILL)):
+        merge_insert_new(store, "changes", log.where(part), ["order_id", "change_seq"])
+        merge_insert_new(store, "items", items.where(part), ITEM)
+        incremental.refresh(store, "fact", ["changes", "items"], {"changes": ids, "items": ids}, build)
+    return store.read("fact").drop("row_hash")
+
+
+def _by_window(rows: DataFrame, keys: list[str], *order) -> DataFrame:
+    """One row a key by a window, the second formulation that the operators are held against."""
+    ranked = Window.partitionBy(*keys).orderBy(*order)
+    return rows.where(~quality.missing(*keys)).withColumn("_n", F.row_number().over(ranked)).where("_n = 1").drop("_n")
 
 
 def rec_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """Operators against a second formulation by windows."""
-    rows = table(spark, folder, "order_items").select(*ITEM, *DELIVERY)
-    ranked = Window.partitionBy(*ITEM).orderBy(*DELIVERY)
-    windowed = rows.where(~quality.missing(*ITEM)).withColumn("_n", F.row_number().over(ranked)).where("_n = 1").drop("_n")
-    changes = change_log(spark, folder).select("order_id", "change_seq", "order_status", "_op")
-    last = changes.withColumn("_n", F.row_number().over(Window.partitionBy("order_id").orderBy(F.desc("change_seq")))).where((F.col("_n") == 1) & ~is_delete()).drop("_n", "_op")
+    """Operators against a second formulation: windows in place of aggregations, applied merges in place of one pass, exploded
+    hits in place of counted ones, the incremental fact in place of the whole."""
+    delivered, latest = [F.col(c) for c in DELIVERY], [F.desc(c) for c in ("_batch_date", "_ingested_at", "customer_city")]
+    good = lambda seen: quality.split(seen)[0]
+    items, changes = checked_items(spark, folder), checked_changes(spark, folder)
+    log = _by_window(good(changes), ["order_id", "change_seq"], *delivered)
+    last = _by_window(log, ["order_id"], F.desc("change_seq")).where(~is_delete())
+    hits = quality.split(items)[1].select("_batch_date", F.explode("_failed_rules").alias("rule")).groupBy(F.col("_batch_date").alias("batch_date"), "rule").agg(F.count("*").alias("failed_rows"))
+    counted = quality.metrics(items, item_rules(items), "order_items").where((F.col("failed_rows") > 0) & ~F.col("rule").isin(quality.ALL, quality.RESCUED)).select("batch_date", "rule", "failed_rows")
+    kept = quality.quarantine(items, CONTRACTS["order_items"].columns, "order_items").select("failed_rules", "source_file", "raw")
+    aside = items.where(F.exists("_failed_rules", lambda r: r.isNotNull())).select(F.col("_failed_rules").alias("failed_rules"), F.col("_source_file").alias("source_file"), F.col("_raw").alias("raw"))
+    stored = Store(spark, scratch(spark, "tables"))
+    scd.apply_snapshots(stored, "sellers", table(spark, folder, "sellers"), "seller_id", SELLER)
+    seller = ("seller_id", *SELLER, "valid_from", "valid_to", "is_current")
+    fact = ("order_id", "current_status", "hours_total", "item_count", "order_value", "end_reason")
+    customers = [*CONTRACTS["customers"].columns]
     return reconcile.evaluate([
-        reconcile.Check("items", deliver_once(rows, ITEM), windowed),
+        reconcile.Check("items", silver_items(spark, folder), _by_window(good(items), ITEM, *delivered), tuple(ITEM)),
+        reconcile.Check("order_changes", change_log(spark, folder), log, ("order_id", "change_seq", "order_status")),
         reconcile.Check("orders", silver_orders(spark, folder), last, ("order_id", "change_seq", "order_status")),
+        reconcile.Check("customers", silver_customers(spark, folder), _by_window(good(checked(spark, folder, "customers")), ["customer_id"], *latest), tuple(customers)),
+        reconcile.Check("products", silver_products(spark, folder).select("product_id"), table(spark, folder, "products").where("product_id IS NOT NULL").select("product_id").distinct()),
+        reconcile.Check("dim_seller", seller_dimension(spark, folder), stored.read("sellers"), seller),
+        reconcile.Check("fact_order_fulfillment", order_fact(spark, folder), inc_fulfillment(spark, folder), fact),
+        reconcile.Check("quarantine", kept, aside, as_set=True),
+        reconcile.Check("dq_metrics", counted, hits, as_set=True),
     ])
 
 
@@ -444,64 +589,83 @@ def rpl_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rpl_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    items = silver_items(spark, folder).withColumn("_day", replay.delivery_day("order_purchase_ts", BACKFILL))
-    faults = [replay.Fault("duplicate_same_batch", 0, 100, repeat=0), replay.Fault("duplicate_next_batch", 100, 150, repeat=1), replay.Fault("too_late", 300, 330, delay=ALLOWED_DAYS + 2), replay.Fault("missing_product_id", 380, 410, values=(("product_id", F.lit(None).cast("string")),))]
-    out = replay.inject(items, ITEM, "_day", faults, dt.date(2024, 5, 10), BACKFILL)
-    return replay.manifest(out, "order_items", "_day").select(day_int("batch_date").alias("batch_day"), "feed", "row_count", F.to_json("injected").alias("injected"))
+    items = silver_items(spark, folder).withColumn("_delivery_date", replay.delivery_day("order_purchase_ts", BACKFILL))
+    out = replay.inject(items, ITEM, "_delivery_date", replay.ITEM_FAULTS, LAST_DELIVERY, BACKFILL)
+    return replay.manifest(out, "order_items", "_delivery_date").select(day_int("batch_date").alias("batch_day"), "feed", "row_count", F.to_json("injected").alias("injected"))
+
+
+LAST_DELIVERY = dt.date(2024, 5, 10)
+
+
+def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables in the form that raw files have: all text, without lineage."""
+    text = lambda df, **names: df.select(*[F.col(c).cast("string").alias(n) for n, c in names.items()])
+    o = "order_id", "customer_id", "order_status"
+    orders = text(silver_orders(spark, folder), **{c: c for c in o}, order_purchase_timestamp="order_purchase_ts", order_approved_at="order_approved_ts", order_delivered_carrier_date="order_delivered_carrier_ts", order_delivered_customer_date="order_delivered_customer_ts", order_estimated_delivery_date="order_estimated_delivery_ts")
+    items = text(silver_items(spark, folder), **{c: c for c in ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")}, shipping_limit_date="shipping_limit_ts")
+    products = silver_products(spark, folder)
+    return {
+        "orders": orders, "items": items, "customers": text(silver_customers(spark, folder), **{c: c for c in CONTRACTS["customers"].columns}), "reviews": reviews(spark, folder),
+        "sellers": text(deliver_once(table(spark, folder, "sellers"), ["seller_id"], ("_batch_date", "_ingested_at"), first=False), **{c: c for c in CONTRACTS["sellers"].columns}),
+        "products": text(products, **{c: c for c in ("product_id", "product_category_name", "product_weight_g", "product_photos_qty")}),
+        "translation": text(products.where("product_category_name IS NOT NULL").groupBy("product_category_name").agg(F.min("product_category_name_english").alias("e")), product_category_name="product_category_name", product_category_name_english="e"),
+    }
+
+
+def rpl_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """The feeds built from raw tables: rows by feed and day of delivery, with one value of each that only its join brings."""
+    plan = replay.Plan(BACKFILL, (LAST_DELIVERY - BACKFILL).days)
+    out = []
+    for name, feed in replay.feeds(raw_tables(spark, folder), plan).items():
+        brings = {"order_items": "order_purchase_ts", "products": "product_category_name_english", "sellers": "seller_city"}.get(name, feed.columns[0])
+        out.append(feed.groupBy(day_int("_delivery_date").alias("batch_day")).agg(F.count("*").alias("row_count"), F.count(brings).alias("held")).select(F.lit(name).alias("feed"), "batch_day", "row_count", "held"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def rpl_delivered(spark: SparkSession, folder: str) -> DataFrame:
+    """A replay prepared, its first two days delivered: what lies in the landing folders against the manifest."""
+    at = scratch(spark, "replay")
+    player = Replay(Store(spark, f"{at}/tables"), at, replay.Plan(BACKFILL, (LAST_DELIVERY - BACKFILL).days))
+    player.prepare(raw_tables(spark, folder))
+    days = [player.deliver(player.next_day()) for _ in range(2)]
+    planned = player.manifest().where(F.col("delivered_at").isNotNull()).select("feed", "batch_date", "row_count")
+    landed = reduce(lambda a, b: a.unionByName(b), [
+        landing.scan(spark, f"{at}/landing/{n}", CONTRACTS[n]).groupBy(F.col("_batch_date").alias("batch_date")).agg(F.count("*").alias("landed")).select(F.lit(n).alias("feed"), "batch_date", "landed")
+        for n in ("orders_cdc", "order_items", "customers", "reviews", "sellers", "products")
+    ])
+    return planned.join(landed, ["feed", "batch_date"], "full").select("feed", day_int("batch_date").alias("batch_day"), (F.col("row_count") == F.col("landed")).alias("all_landed"), F.lit(len(days)).alias("days"))
 
 
 # -- reports
 
 
-def _views(spark: SparkSession, folder: str, *names: str) -> None:
-    made = {
+def _frames(spark: SparkSession, folder: str) -> dict:
+    return {
         "metrics": lambda: _metrics(spark, folder), "fact": lambda: item_fact(spark, folder), "orders_fact": lambda: order_fact(spark, folder),
         "backlog": lambda: backlog(spark, folder), "mart": lambda: mart(spark, folder), "dim_date": lambda: star.date_dimension(spark, FIRST_DAY, LAST_DAY),
         "dim_seller": lambda: seller_dimension(spark, folder), "gate": lambda: quality.gate(_metrics(spark, folder), THRESHOLD),
+        "gates": lambda: quality.gate(_metrics(spark, folder), THRESHOLD, run="batch_date"),
         "bad": lambda: quality.quarantine(checked_items(spark, folder), CONTRACTS["order_items"].columns, "order_items"),
     }
-    for n in names:
-        made[n]().createOrReplaceTempView(f"tm_{n}")
-
-
-#: Each report: the views it reads, and its SQL for Spark. The bounds of lateness in hours (-168, 0, 72, 168),
-#: the number of top sellers (15).
-REPORTS = {
-    "bi_kpi_ops": (("gate", "bad"), "SELECT count(*) AS tables, count_if(NOT passed) AS blocked, (SELECT count(*) FROM tm_bad) AS quarantined FROM tm_gate"),
-    "bi_dq_ratio": (("metrics",), f"""SELECT year(batch_date) * 10000 + month(batch_date) * 100 + day(batch_date) AS batch_day, table_name AS series, round(try_divide(sum(failed_rows), sum(total_rows)), 6) AS bad_ratio
-        FROM tm_metrics WHERE rule = '__all__' GROUP BY ALL
-        UNION ALL SELECT DISTINCT year(batch_date) * 10000 + month(batch_date) * 100 + day(batch_date), 'threshold', CAST({THRESHOLD} AS DOUBLE) FROM tm_metrics"""),
-    "bi_dq_errors": (("metrics",), "SELECT rule, sum(failed_rows) AS row_count FROM tm_metrics WHERE severity = 'error' AND rule <> '__all__' AND failed_rows > 0 AND batch_date > DATE'2024-03-31' GROUP BY ALL"),
-    "bi_dq_handled": (("metrics",), "SELECT rule, sum(failed_rows) AS row_count FROM tm_metrics WHERE severity IN ('info', 'warn') AND failed_rows > 0 AND batch_date > DATE'2024-03-31' GROUP BY ALL"),
-    "bi_dq_gate": (("gate",), "SELECT table_name, bad_rows, total_rows, round(bad_ratio * 100, 2) AS bad_pct, passed FROM tm_gate WHERE total_rows > 0 ORDER BY table_name"),
-    "bi_dq_quarantine": (("bad",), "SELECT array_join(failed_rules, ', ') AS rules, count(*) AS row_count FROM tm_bad GROUP BY ALL"),
-    "bi_kpi_biz": (("fact",), "SELECT CAST(sum(CASE WHEN NOT is_canceled THEN price END) AS DECIMAL(38,2)) AS gmv, count(DISTINCT order_id) AS orders, round(avg(CASE WHEN is_delivered THEN CAST(is_on_time AS INT) END), 6) AS on_time_rate FROM tm_fact"),
-    "bi_monthly": (("fact", "dim_date"), """SELECT d.year_month, CAST(sum(CASE WHEN NOT f.is_canceled THEN f.price END) AS DECIMAL(38,2)) AS gmv, round(avg(CASE WHEN f.is_delivered THEN CAST(f.is_on_time AS INT) END), 6) AS on_time_rate
-        FROM tm_fact f JOIN tm_dim_date d ON d.date_key = f.order_date_key GROUP BY ALL"""),
-    "bi_state": (("fact", "dim_seller"), """SELECT s.seller_state, count(DISTINCT f.order_id) AS orders, CAST(sum(f.price) AS DECIMAL(38,2)) AS gmv, round(avg(CASE WHEN f.is_delivered THEN CAST(f.is_on_time AS INT) END), 6) AS on_time_rate
-        FROM tm_fact f JOIN tm_dim_seller s ON s.version_key = f.seller_version_key WHERE NOT f.is_canceled GROUP BY ALL"""),
-    "bi_stages": (("orders_fact",), """SELECT date_format(purchase_ts, 'yyyy-MM') AS month, stage, round(avg(hours), 1) AS avg_hours, count(*) AS orders FROM tm_orders_fact
-        LATERAL VIEW stack(3, '1 approval', hours_to_approve, '2 handover', hours_to_ship, '3 transit', hours_in_transit) s AS stage, hours WHERE hours IS NOT NULL GROUP BY ALL"""),
-    "bi_backlog": (("backlog",), "SELECT snapshot_date_key, order_status, sum(open_orders) AS open_orders FROM tm_backlog GROUP BY ALL"),
-    "bi_lateness": (("orders_fact",), """SELECT CASE WHEN hours_late <= -168 THEN '1. a week early' WHEN hours_late <= 0 THEN '2. early' WHEN hours_late <= 72 THEN '3. 3 days late' WHEN hours_late <= 168 THEN '4. a week late' ELSE '5. later' END AS lateness,
-        count(*) AS orders, round(avg(review_score), 2) AS avg_review_score FROM tm_orders_fact WHERE delivered_ts IS NOT NULL AND review_score IS NOT NULL GROUP BY ALL"""),
-    "bi_top_sellers": (("mart",), """SELECT seller_id, seller_state, sum(gmv) AS gmv, sum(orders) AS orders, round(try_divide(sum(on_time_orders), sum(delivered_orders)), 3) AS on_time_rate
-        FROM tm_mart GROUP BY ALL ORDER BY gmv DESC NULLS LAST, seller_id LIMIT 15"""),
-}
 
 
 def _report(name: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        _views(spark, folder, *REPORTS[name][0])
-        return spark.sql(REPORTS[name][1])
+        text, made = reports.REPORTS[name].sql(), _frames(spark, folder)
+        used = {n: make() for n, make in made.items() if f"{{{n}}}" in text}
+        out = spark.sql(text, **used)
+        if name == "bi_dq_ratio":  # with the threshold as a series of its own
+            out = out.unionByName(reports.REPORTS["bi_dq_threshold"].run(spark, metrics=used["metrics"]))
+        return out
 
     run.__name__ = name
     return run
 
 
 QUERIES = {f.__name__: f for f in (
-    src_lineage, src_parse_lines, src_csv, src_snapshots, src_rescued_fields, str_ingest, str_upsert, slv_items, slv_changes, slv_orders, slv_customers, slv_products,
-    dq_metrics, dq_fired, dq_duplicates, dq_quarantine, dq_rule_hits, dq_gate, dq_gate_latest, mrg_insert_new, mrg_upsert, mrg_delete_missing, mrg_forward_only, mrg_hash_guarded,
-    cdf_changes, scd_one_pass, scd_applied, late_outcomes, gold_dim_date, gold_dim_customer, gold_dim_product, gold_fact_order_item, gold_fact_order_fulfillment, gold_fact_daily_backlog,
-    gold_mart_seller, inc_totals, inc_stats, rec_checks, rec_difference, rpl_lifecycle, rpl_manifest, *[_report(n) for n in REPORTS],
+    src_lineage, src_parse_lines, src_csv, src_snapshots, src_rescued_fields, src_one_day, str_ingest, str_ingest_parquet, str_upsert, slv_items, slv_changes, slv_orders, slv_customers, slv_products,
+    slv_reviews, dq_metrics, dq_fired, dq_duplicates, dq_loaded, dq_quarantine, dq_rule_hits, dq_reviews, dq_observed, dq_milestones, dq_gate, dq_gate_latest, gate_run, mrg_insert_new, mrg_upsert, mrg_update, mrg_overwrite,
+    mrg_delete_missing, mrg_guarded_delete, mrg_forward_only, mrg_hash_guarded, cdf_changes, scd_one_pass, scd_applied, late_outcomes, gold_dim_date, gold_dim_customer, gold_dim_product, gold_fact_order_item,
+    gold_fact_order_fulfillment, gold_fact_daily_backlog, gold_mart_seller, inc_totals, inc_stats, inc_fulfillment, rec_checks, rec_difference, rpl_lifecycle, rpl_manifest, rpl_feeds, rpl_delivered,
+    *[_report(n) for n in reports.REPORTS if n != "bi_dq_threshold"],
 )}

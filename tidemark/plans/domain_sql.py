@@ -76,8 +76,8 @@ def _hours(a: str, b: str) -> str:
 
 _FACT = f"""
   SELECT i.order_id, i.order_item_id, {_day('i.event_date')} AS order_date_key, c.customer_unique_id, i.product_id, i.seller_id,
-    coalesce(o.order_status, 'unknown') AS order_status, i.order_purchase_ts AS purchase_ts, o.order_delivered_customer_ts AS delivered_ts,
-    o.order_estimated_delivery_ts AS estimated_ts, i.price, i.freight_value, o.order_status IN ('canceled', 'unavailable') AS is_canceled,
+    coalesce(o.order_status, 'unknown') AS order_status, i.order_purchase_ts, o.order_delivered_customer_ts,
+    o.order_estimated_delivery_ts, i.price, i.freight_value, o.order_status IN ('canceled', 'unavailable') AS is_cancelled,
     o.order_delivered_customer_ts IS NOT NULL AS is_delivered,
     CASE WHEN o.order_delivered_customer_ts IS NOT NULL THEN CAST(o.order_delivered_customer_ts AS DATE) <= CAST(o.order_estimated_delivery_ts AS DATE) END AS is_on_time,
     i.arrival_lag_days, {_day('s.valid_from')} AS version_from, s.seller_state
@@ -116,14 +116,14 @@ _BACKLOG = f"""
   v AS (SELECT order_id, sum(price) AS v FROM ({_ITEMS}) GROUP BY 1)
   SELECT {_key('sd')} AS snapshot_date_key, order_status, coalesce(customer_state, 'unknown') AS customer_state, count(*) AS open_orders,
     CAST(coalesce(sum(v), 0) AS DECIMAL(38,2)) AS open_order_value, CAST(quantile_disc(date_diff('day', p, sd), 0.5) AS INTEGER) AS median_age_days,
-    CAST(count(*) FILTER (date_diff('day', p, sd) > 30) AS BIGINT) AS orders_open_long, CAST(count(*) FILTER (sd > e) AS BIGINT) AS overdue_orders
+    CAST(count(*) FILTER (date_diff('day', p, sd) > 30) AS BIGINT) AS orders_open_over_30_days, CAST(count(*) FILTER (sd > e) AS BIGINT) AS overdue_orders
   FROM x LEFT JOIN v USING (order_id) LEFT JOIN ({_CUSTOMERS}) c ON c.customer_id = x.customer_id GROUP BY ALL"""
 
 _MART = f"""
   WITH f AS ({_FACT}),
-  o AS (SELECT seller_id, strftime(purchase_ts, '%Y-%m') AS year_month, order_id, max(CAST(NOT coalesce(is_canceled, false) AS INTEGER)) AS sold,
-      max(CAST(is_delivered AS INTEGER)) AS dl, max(CAST(is_on_time AS INTEGER)) AS ot, sum(CASE WHEN NOT coalesce(is_canceled, false) THEN price END) AS gmv,
-      sum(CASE WHEN NOT coalesce(is_canceled, false) THEN freight_value END) AS fr, count(*) FILTER (NOT coalesce(is_canceled, false)) AS n FROM f GROUP BY ALL)
+  o AS (SELECT seller_id, strftime(order_purchase_ts, '%Y-%m') AS year_month, order_id, max(CAST(NOT coalesce(is_cancelled, false) AS INTEGER)) AS sold,
+      max(CAST(is_delivered AS INTEGER)) AS dl, max(CAST(is_on_time AS INTEGER)) AS ot, sum(CASE WHEN NOT coalesce(is_cancelled, false) THEN price END) AS gmv,
+      sum(CASE WHEN NOT coalesce(is_cancelled, false) THEN freight_value END) AS fr, count(*) FILTER (NOT coalesce(is_cancelled, false)) AS n FROM f GROUP BY ALL)
   SELECT o.seller_id, year_month, s.seller_city, s.seller_state, CAST(sum(sold) AS BIGINT) AS orders, CAST(sum(dl) AS BIGINT) AS delivered_orders, CAST(sum(ot) AS BIGINT) AS on_time_orders,
     round(CASE WHEN sum(dl) <> 0 THEN CAST(sum(ot) AS DOUBLE) / sum(dl) END, 4) AS on_time_rate, round(avg(r.score), 2) AS avg_review_score,
     CAST(sum(gmv) AS DECIMAL(38,2)) AS gmv, CAST(sum(fr) AS DECIMAL(38,2)) AS freight, CAST(nullif(sum(n), 0) AS BIGINT) AS items
@@ -163,18 +163,67 @@ _CITY = f"customer_id, customer_city, {_day('_batch_date')} AS batch_day"
 _PAIRS = f"(SELECT a.customer_id AS a, b.customer_id AS b, a.customer_city IS DISTINCT FROM b.customer_city OR a.customer_state IS DISTINCT FROM b.customer_state AS differs FROM ({_BEFORE}) a FULL JOIN ({_AFTER}) b ON a.customer_id = b.customer_id)"
 _BAD = f"SELECT * FROM ({_CHECKED_ITEMS}) WHERE len(failed) > 0"
 _SCD = f"SELECT seller_id, seller_city, seller_state, seller_zip_code_prefix, {_day('valid_from')} AS valid_from, coalesce({_day('valid_to')}, -1) AS valid_to, is_current FROM ({_SELLERS})"
+_REVIEWS = """
+  SELECT order_id AS review_id, CASE WHEN minute(order_purchase_ts) % 7 < 6 THEN order_id END AS order_id, CAST(minute(order_purchase_ts) % 7 AS INTEGER) AS review_score,
+    order_delivered_customer_ts AS review_creation_ts, CASE WHEN second(order_purchase_ts) % 3 > 0 THEN order_delivered_customer_ts + to_days(change_seq) END AS review_answer_ts,
+    _batch_date, _ingested_at, _source_file
+  FROM orders_cdc WHERE order_delivered_customer_ts IS NOT NULL AND order_purchase_ts IS NOT NULL AND change_seq IS NOT NULL"""
+_REVIEW_RULES = {"missing_key": "review_id IS NULL OR order_id IS NULL", "score_out_of_range": "review_score NOT BETWEEN 1 AND 5"}
+_CHECKED_REVIEWS = f"SELECT *, {_failed(_REVIEW_RULES)} AS failed FROM ({_REVIEWS})"
+#: Life cycles of orders, a row a state.
+_STATES = f"""WITH o AS (SELECT * FROM ({_ORDERS}) WHERE order_purchase_ts IS NOT NULL),
+      m AS (SELECT order_id, order_status, order_delivered_customer_ts AS dl, unnest([order_purchase_ts, order_approved_ts, order_delivered_carrier_ts, order_delivered_customer_ts]) AS ts, unnest([0, 1, 2, 3]) AS rk,
+              unnest(['created', 'approved', 'shipped', 'delivered']) AS state FROM o),
+      k AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, rk DESC) AS back FROM m WHERE ts IS NOT NULL),
+      a AS (SELECT order_id, dl, ts, rk, state FROM k UNION ALL SELECT order_id, dl, ts + INTERVAL 1 HOUR, 4, order_status FROM k WHERE back = 1 AND order_status <> state)"""
+
+
+def _delivered_on(time: str) -> str:
+    return f"greatest(CAST({time} AS DATE), DATE '2024-03-31')"
+
+
+def _feed(name: str, rows: str, held: str) -> str:
+    return f"SELECT '{name}' AS feed, {_day('d')} AS batch_day, count(*) AS row_count, count({held}) AS held FROM ({rows}) WHERE d <= DATE '2024-05-10' GROUP BY d"
+
+
+_FEEDS = " UNION ALL ".join([
+    _feed("orders_cdc", f"{_STATES} SELECT order_id, {_delivered_on('ts')} AS d FROM a", "order_id"),
+    _feed("order_items", f"SELECT o.order_purchase_ts, {_delivered_on('o.order_purchase_ts')} AS d FROM ({_ITEMS}) i JOIN ({_ORDERS}) o USING (order_id)", "order_purchase_ts"),
+    _feed("customers", f"SELECT c.customer_id, {_delivered_on('s.seen')} AS d FROM ({_CUSTOMERS}) c JOIN (SELECT customer_id, min(order_purchase_ts) AS seen FROM ({_ORDERS}) WHERE order_purchase_ts IS NOT NULL GROUP BY 1) s USING (customer_id)", "customer_id"),
+    _feed("reviews", f"SELECT review_id, {_delivered_on('review_creation_ts')} AS d FROM ({_REVIEWS}) WHERE order_id IS NOT NULL", "review_id"),
+    _feed("products", f"""SELECT e, DATE '2024-03-31' AS d FROM ({_PRODUCTS}) p LEFT JOIN (SELECT product_category_name, min(product_category_name_english) AS e FROM ({_PRODUCTS})
+        WHERE product_category_name IS NOT NULL GROUP BY 1) t USING (product_category_name)""", "e"),
+    _feed("sellers", """SELECT seller_id, CAST(unnest(generate_series(DATE '2024-03-31', DATE '2024-05-10', INTERVAL 1 DAY)) AS DATE) AS d
+        FROM (SELECT DISTINCT seller_id FROM sellers WHERE seller_id IS NOT NULL)""", "seller_id"),
+])
 _RATE = "round(avg(CASE WHEN is_delivered THEN CAST(is_on_time AS INTEGER) END), 6)"
-_SOLD = "CAST(sum(CASE WHEN NOT is_canceled THEN price END) AS DECIMAL(38,2))"
+_SOLD = "CAST(sum(CASE WHEN NOT is_cancelled THEN price END) AS DECIMAL(38,2))"
 
 SQL = {
-    "src_lineage": f"""SELECT regexp_extract(_source_file, 'feed[0-9]+') AS feed, {_day('d')} AS path_day, count(*) AS row_count, CAST(count(*) FILTER (d = _batch_date) AS BIGINT) AS agree
-      FROM (SELECT *, CAST(regexp_extract(_source_file, 'batch_date=([0-9-]{{10}})', 1) AS DATE) AS d FROM order_items) GROUP BY ALL""",
+    "src_lineage": f"SELECT regexp_extract(_source_file, 'feed[0-9]+') AS feed, {_day('_batch_date')} AS path_day, count(*) AS row_count, CAST(0 AS BIGINT) AS malformed FROM order_items GROUP BY ALL",
     "src_parse_lines": """WITH x AS (SELECT event_id, event_id % 7 AS n, json_extract_string(props, '$.k') AS k, props FROM events)
       SELECT event_id, CASE WHEN n NOT IN (1, 2, 3, 4) THEN CAST(k AS INTEGER) END AS k, CASE n WHEN 0 THEN '{"extra":"{\\"a\\":1}"}' WHEN 2 THEN '{"k":"abc"}' END AS rescued,
         n IN (1, 3, 4) AS malformed, CASE n WHEN 1 THEN 'not json' WHEN 3 THEN '[1,2]' WHEN 4 THEN '' END AS raw FROM x""",
     "src_csv": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation",
     "src_snapshots": f"SELECT {_day('d')} AS batch_day, {_day('lead(d) OVER (ORDER BY d)')} AS next_day FROM (SELECT DISTINCT _batch_date AS d FROM sellers)",
-    "src_rescued_fields": f"SELECT {_day('_batch_date')} AS batch_day, f AS field_name, count(*) AS row_count FROM (SELECT _batch_date, unnest(json_keys(_rescued_data)) AS f FROM order_items WHERE _rescued_data IS NOT NULL) GROUP BY ALL",
+    "src_rescued_fields": f"""SELECT {_day('_batch_date')} AS batch_day, f AS field_name, count(*) AS row_count FROM (SELECT _batch_date, _rescued_data, unnest(json_keys(_rescued_data)) AS f FROM order_items WHERE _rescued_data IS NOT NULL)
+      WHERE json_extract_string(_rescued_data, '$."' || f || '"') IS NOT NULL AND f NOT IN ('order_id', 'order_item_id', 'product_id', 'seller_id', 'order_purchase_ts', 'shipping_limit_ts', 'price', 'freight_value') GROUP BY ALL""",
+    "src_one_day": "SELECT customer_id, customer_unique_id, customer_zip_code_prefix, customer_city, customer_state FROM customers WHERE _batch_date = (SELECT max(_batch_date) FROM customers)",
+    "str_ingest_parquet": f"SELECT seller_id, seller_zip_code_prefix, seller_city, seller_state, {_day('_batch_date')} AS batch_day FROM sellers",
+    "slv_reviews": f"""SELECT review_id, order_id, review_score, review_creation_ts, review_answer_ts, {_day('_batch_date')} AS batch_day FROM ({_CHECKED_REVIEWS}) WHERE len(failed) = 0
+      QUALIFY row_number() OVER (PARTITION BY review_id, order_id ORDER BY _batch_date DESC NULLS LAST, review_answer_ts DESC NULLS LAST, _ingested_at DESC NULLS LAST, _source_file DESC NULLS LAST,
+        review_creation_ts DESC NULLS LAST, review_score DESC NULLS LAST) = 1""",
+    "dq_reviews": f"SELECT {_METRIC_COLUMNS} FROM ({_metric(_CHECKED_REVIEWS, 'reviews', _REVIEW_RULES)})",
+    "dq_observed": " UNION ALL ".join(
+        [f"SELECT '{t}' AS table_name, 'total_rows' AS rule, count(*) AS row_count FROM {t}" for t in ("customers", "orders_cdc")]
+        + [f"SELECT '{t}', '{n}', count(*) FILTER (coalesce({c}, false)) FROM {t}" for t, rules in (("customers", _CUSTOMER_RULES), ("orders_cdc", _CHANGE_RULES)) for n, c in rules.items()]),
+    "dq_milestones": f"SELECT 'fact_order_fulfillment' AS table_name, 'inconsistent_milestones' AS rule, 'warn' AS severity, count(*) FILTER (has_inconsistent_milestones) AS failed_rows, count(*) AS total_rows FROM ({_ORDER_FACT})",
+    "dq_loaded": f"""WITH k AS (SELECT order_id, order_item_id, _batch_date AS b, count(*) AS n FROM order_items WHERE order_id IS NOT NULL AND order_item_id IS NOT NULL AND _batch_date > DATE '2024-03-31' GROUP BY ALL),
+      l AS (SELECT DISTINCT order_id, order_item_id FROM order_items WHERE _batch_date <= DATE '2024-03-31'),
+      f AS (SELECT k.*, l.order_id IS NOT NULL OR b > min(b) OVER (PARTITION BY k.order_id, k.order_item_id) AS before FROM k LEFT JOIN l USING (order_id, order_item_id)),
+      s AS (SELECT b, sum(n) AS t, sum(n - 1) AS i, count(*) FILTER (before) AS l FROM f GROUP BY b)
+      SELECT 'order_items' AS table_name, {_day('b')} AS batch_date, 'duplicate_in_batch' AS rule, 'info' AS severity, CAST(i AS BIGINT) AS failed_rows, CAST(t AS BIGINT) AS total_rows FROM s
+      UNION ALL SELECT 'order_items', {_day('b')}, 'duplicate_already_loaded', 'info', l, CAST(t AS BIGINT) FROM s""",
     "str_ingest": f"SELECT customer_id, customer_unique_id, customer_zip_code_prefix, customer_city, customer_state, {_day('_batch_date')} AS batch_day, false AS _malformed FROM customers",
     "str_upsert": f"""SELECT customer_id, customer_unique_id, customer_zip_code_prefix, customer_city, customer_state, {_day('_batch_date')} AS batch_day FROM customers WHERE customer_id IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY _batch_date DESC NULLS LAST, _ingested_at DESC NULLS LAST, customer_city DESC NULLS LAST) = 1""",
@@ -194,6 +243,12 @@ SQL = {
     "dq_rule_hits": f"SELECT {_day('_batch_date')} AS batch_day, rule, count(*) AS row_count FROM (SELECT _batch_date, unnest(failed) AS rule FROM ({_BAD})) GROUP BY ALL",
     "dq_gate": _gate(_METRICS),
     "dq_gate_latest": _gate(f"SELECT * FROM ({_METRICS}) QUALIFY _batch_date = max(_batch_date) OVER (PARTITION BY table_name)"),
+    "gate_run": f"""SELECT {_day('_batch_date')} AS batch_date, table_name, CAST(sum(failed_rows) AS BIGINT) AS bad_rows, CAST(sum(total_rows) AS BIGINT) AS total_rows,
+      CAST(sum(failed_rows) AS DOUBLE) / sum(total_rows) AS bad_ratio, CAST(0.05 AS DOUBLE) AS threshold, CAST(sum(failed_rows) AS DOUBLE) / sum(total_rows) <= 0.05 AS passed
+      FROM ({_METRICS}) WHERE rule = '__all__' GROUP BY _batch_date, table_name""",
+    "mrg_update": f"SELECT customer_id, CASE WHEN customer_city IS NULL OR customer_state = 'SP' THEN upper(coalesce(customer_city, 'nowhere')) ELSE customer_city END AS customer_city, {_day('_batch_date')} AS batch_day FROM ({_BEFORE})",
+    "mrg_overwrite": f"SELECT 'now' AS version, customer_id, customer_city FROM ({_AFTER}) UNION ALL SELECT 'before', customer_id, customer_city FROM ({_BEFORE})",
+    "mrg_guarded_delete": f"""SELECT change_type, count(*) AS row_count FROM (SELECT unnest(CASE WHEN a IS NULL THEN ['insert'] WHEN b IS NULL THEN ['delete'] WHEN differs THEN ['update_preimage', 'update_postimage'] ELSE [] END) AS change_type FROM {_PAIRS}) GROUP BY 1""",
     "mrg_insert_new": f"SELECT {_CITY} FROM ({_BEFORE}) UNION ALL SELECT {_CITY} FROM ({_AFTER}) WHERE customer_id NOT IN (SELECT customer_id FROM ({_BEFORE}))",
     "mrg_upsert": f"SELECT {_CITY} FROM ({_AFTER}) UNION ALL SELECT {_CITY} FROM ({_BEFORE}) WHERE customer_id NOT IN (SELECT customer_id FROM ({_AFTER}))",
     "mrg_delete_missing": f"SELECT {_CITY} FROM ({_AFTER})",
@@ -218,15 +273,15 @@ SQL = {
     "gold_fact_daily_backlog": _BACKLOG,
     "gold_mart_seller": _MART,
     "inc_totals": f"SELECT order_id, count(*) AS item_count, CAST(sum(price) AS DECIMAL(38,2)) AS order_value FROM ({_ITEMS}) GROUP BY 1",
-    "inc_stats": f"""SELECT 'full' AS mode, 'no target yet' AS reason, CAST(-1 AS BIGINT) AS changed_ids
-      UNION ALL SELECT 'incremental', 'change feeds', count(DISTINCT order_id) FROM ({_ITEMS}) WHERE _batch_date > DATE '2024-03-31'""",
-    "rec_checks": "SELECT unnest(['items', 'orders']) AS check, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, true AS passed",
+    "inc_stats": f"""WITH i AS (SELECT order_id, _batch_date > DATE '2024-03-31' AS later FROM ({_ITEMS}))
+      SELECT 'full' AS mode, 'no target yet' AS reason, CAST(-1 AS BIGINT) AS changed_ids, count(DISTINCT order_id) AS processed_ids, count(DISTINCT order_id) AS total_ids FROM i WHERE NOT later
+      UNION ALL SELECT 'incremental', 'change feeds', count(DISTINCT CASE WHEN later THEN order_id END), count(DISTINCT CASE WHEN later THEN order_id END), count(DISTINCT order_id) FROM i""",
+    "inc_fulfillment": _ORDER_FACT,
+    "rpl_feeds": _FEEDS,
+    "rpl_delivered": f"SELECT DISTINCT feed, batch_day, true AS all_landed, 2 AS days FROM ({_FEEDS}) WHERE batch_day IN (20240331, 20240401)",
+    "rec_checks": "SELECT unnest(['items', 'order_changes', 'orders', 'customers', 'products', 'dim_seller', 'fact_order_fulfillment', 'quarantine', 'dq_metrics']) AS check, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, true AS passed",
     "rec_difference": "SELECT CAST(count(*) - count(DISTINCT (order_id, order_item_id)) AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right FROM order_items WHERE order_id IS NOT NULL AND order_item_id IS NOT NULL",
-    "rpl_lifecycle": f"""WITH o AS (SELECT * FROM ({_ORDERS}) WHERE order_purchase_ts IS NOT NULL),
-      m AS (SELECT order_id, order_status, order_delivered_customer_ts AS dl, unnest([order_purchase_ts, order_approved_ts, order_delivered_carrier_ts, order_delivered_customer_ts]) AS ts, unnest([0, 1, 2, 3]) AS rk,
-              unnest(['created', 'approved', 'shipped', 'delivered']) AS state FROM o),
-      k AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, rk DESC) AS back FROM m WHERE ts IS NOT NULL),
-      a AS (SELECT order_id, dl, ts, rk, state FROM k UNION ALL SELECT order_id, dl, ts + INTERVAL 1 HOUR, 4, order_status FROM k WHERE back = 1 AND order_status <> state)
+    "rpl_lifecycle": f"""{_STATES}
       SELECT order_id, CAST(row_number() OVER (PARTITION BY order_id ORDER BY ts, rk) AS INTEGER) AS change_seq, ts AS change_ts, state, coalesce(dl <= ts, false) AS shows_delivery FROM a""",
     "bi_kpi_ops": f"SELECT count(*) AS tables, count(*) FILTER (NOT passed) AS blocked, (SELECT count(*) FROM ({_BAD})) AS quarantined FROM ({_gate(_METRICS)})",
     "bi_dq_ratio": f"""SELECT {_day('_batch_date')} AS batch_day, table_name AS series, round(CAST(sum(failed_rows) AS DOUBLE) / sum(total_rows), 6) AS bad_ratio FROM ({_METRICS}) WHERE rule = '__all__' GROUP BY ALL
@@ -235,14 +290,20 @@ SQL = {
     "bi_dq_handled": f"SELECT rule, CAST(sum(failed_rows) AS BIGINT) AS row_count FROM ({_METRICS}) WHERE severity IN ('info', 'warn') AND failed_rows > 0 AND _batch_date > DATE '2024-03-31' GROUP BY ALL",
     "bi_dq_gate": f"SELECT table_name, bad_rows, total_rows, round(bad_ratio * 100, 2) AS bad_pct, passed FROM ({_gate(_METRICS)})",
     "bi_dq_quarantine": f"SELECT array_to_string(failed, ', ') AS rules, count(*) AS row_count FROM ({_BAD}) GROUP BY ALL",
-    "bi_kpi_biz": f"SELECT {_SOLD} AS gmv, count(DISTINCT order_id) AS orders, {_RATE} AS on_time_rate FROM ({_FACT})",
-    "bi_monthly": f"SELECT strftime(purchase_ts, '%Y-%m') AS year_month, {_SOLD} AS gmv, {_RATE} AS on_time_rate FROM ({_FACT}) WHERE purchase_ts >= TIMESTAMP '2023-01-01' AND purchase_ts < TIMESTAMP '2026-01-01' GROUP BY 1",
-    "bi_state": f"SELECT seller_state, count(DISTINCT order_id) AS orders, CAST(sum(price) AS DECIMAL(38,2)) AS gmv, {_RATE} AS on_time_rate FROM ({_FACT}) WHERE NOT is_canceled AND version_from IS NOT NULL GROUP BY 1",
-    "bi_stages": f"""SELECT strftime(purchase_ts, '%Y-%m') AS month, stage, round(avg(hours), 1) AS avg_hours, count(*) AS orders FROM (SELECT purchase_ts, unnest(['1 approval', '2 handover', '3 transit']) AS stage,
+    "bi_dq_rules": f"SELECT {_day('_batch_date')} AS batch_day, table_name, rule, severity, CAST(sum(failed_rows) AS BIGINT) AS row_count FROM ({_METRICS}) WHERE rule <> '__all__' AND failed_rows > 0 GROUP BY ALL",
+    "bi_gate_history": f"""SELECT {_day('_batch_date')} AS run_day, table_name, CAST(sum(failed_rows) AS BIGINT) AS bad_rows, CAST(sum(total_rows) AS BIGINT) AS total_rows,
+      round(CAST(sum(failed_rows) AS DOUBLE) / sum(total_rows) * 100, 2) AS bad_pct, CAST(sum(failed_rows) AS DOUBLE) / sum(total_rows) <= 0.05 AS passed FROM ({_METRICS}) WHERE rule = '__all__' GROUP BY _batch_date, table_name""",
+    "bi_dq_latest": f"""SELECT {_day('_batch_date')} AS batch_day, 'order_items' AS table_name, array_to_string(failed, ', ') AS rules, order_id, _raw AS raw, _source_file AS source_file FROM ({_BAD})
+      ORDER BY batch_day DESC NULLS LAST, source_file NULLS LAST, order_id NULLS LAST, rules, raw NULLS LAST LIMIT 200""",
+    "bi_kpi_biz": f"SELECT {_SOLD} AS gmv, count(DISTINCT order_id) AS orders, count(DISTINCT CASE WHEN NOT is_cancelled THEN order_id END) AS sold_orders, {_RATE} AS on_time_rate FROM ({_FACT})",
+    "bi_monthly": f"""SELECT CASE WHEN order_purchase_ts >= TIMESTAMP '2023-01-01' AND order_purchase_ts < TIMESTAMP '2026-01-01' THEN strftime(order_purchase_ts, '%Y-%m') ELSE 'outside the calendar' END AS year_month,
+      {_SOLD} AS gmv, {_RATE} AS on_time_rate FROM ({_FACT}) GROUP BY 1""",
+    "bi_state": f"SELECT seller_state, count(DISTINCT order_id) AS orders, CAST(sum(price) AS DECIMAL(38,2)) AS gmv, {_RATE} AS on_time_rate FROM ({_FACT}) WHERE NOT is_cancelled AND version_from IS NOT NULL GROUP BY 1",
+    "bi_stages": f"""SELECT strftime(purchase_ts, '%Y-%m') AS month, stage, round(avg(hours), 1) AS avg_hours, count(*) AS orders FROM (SELECT purchase_ts, unnest(['1 purchase → approved', '2 approved → carrier', '3 carrier → customer']) AS stage,
       unnest([hours_to_approve, hours_to_ship, hours_in_transit]) AS hours FROM ({_ORDER_FACT})) WHERE hours IS NOT NULL GROUP BY ALL""",
     "bi_backlog": f"SELECT snapshot_date_key, order_status, CAST(sum(open_orders) AS BIGINT) AS open_orders FROM ({_BACKLOG}) GROUP BY ALL",
-    "bi_lateness": f"""SELECT CASE WHEN hours_late <= -168 THEN '1. a week early' WHEN hours_late <= 0 THEN '2. early' WHEN hours_late <= 72 THEN '3. 3 days late' WHEN hours_late <= 168 THEN '4. a week late' ELSE '5. later' END AS lateness,
+    "bi_lateness": f"""SELECT CASE WHEN hours_late <= -168 THEN '1. 7+ days early' WHEN hours_late <= 0 THEN '2. 0-7 days early' WHEN hours_late <= 72 THEN '3. 1-3 days late' WHEN hours_late <= 168 THEN '4. 4-7 days late' ELSE '5. 8+ days late' END AS lateness,
       count(*) AS orders, round(avg(review_score), 2) AS avg_review_score FROM ({_ORDER_FACT}) WHERE delivered_ts IS NOT NULL AND review_score IS NOT NULL GROUP BY ALL""",
-    "bi_top_sellers": f"""SELECT seller_id, seller_state, CAST(sum(gmv) AS DECIMAL(38,2)) AS gmv, CAST(sum(orders) AS BIGINT) AS orders, round(CASE WHEN sum(delivered_orders) <> 0 THEN CAST(sum(on_time_orders) AS DOUBLE) / sum(delivered_orders) END, 3) AS on_time_rate
-      FROM ({_MART}) GROUP BY ALL ORDER BY gmv DESC NULLS LAST, seller_id LIMIT 15""",
+    **{name: f"""SELECT seller_id, seller_state, CAST(sum(gmv) AS DECIMAL(38,2)) AS gmv, CAST(sum(orders) AS BIGINT) AS orders, round(CASE WHEN sum(delivered_orders) <> 0 THEN CAST(sum(on_time_orders) AS DOUBLE) / sum(delivered_orders) END, 3) AS on_time_rate,
+      round(avg(avg_review_score), 2) AS avg_review_score FROM ({_MART}) GROUP BY seller_id, seller_state ORDER BY gmv DESC NULLS LAST, seller_id LIMIT {n}""" for name, n in (("bi_top_sellers", 15), ("bi_top_sellers_20", 20))},
 }

@@ -51,10 +51,11 @@ def next_snapshot(spark: SparkSession, folder: str, after: dt.date | None) -> dt
     return min((d for d in days if after is None or d > after), default=None)
 
 
-def drop(df: DataFrame, folder: str, day: dt.date, fmt: str = "json", files: int = 1, seed: int | None = None) -> None:
-    """Writes one delivery of a feed: ``files`` files in the day's folder, rows shuffled by ``seed`` if given."""
+def drop(df: DataFrame, folder: str, day: dt.date, fmt: str = "json", files: int = 1, seed: int | None = None, mode: str = "append") -> None:
+    """Writes one delivery of a feed: ``files`` files in the day's folder, rows shuffled by ``seed`` if given; ``mode`` overwrite
+    replaces what lies there."""
     rows = df.orderBy(F.rand(seed)) if seed is not None else df
-    writer = rows.coalesce(files).write.mode("append")
+    writer = rows.coalesce(files).write.mode(mode)
     path = f"{folder}/batch_date={day.isoformat()}"
     writer.parquet(path) if fmt == "parquet" else writer.option("timestampFormat", TIMESTAMPS).option("timestampNTZFormat", TIMESTAMPS).json(path)
 
