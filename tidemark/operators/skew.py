@@ -11,16 +11,21 @@ from tidemark.session import parallelism
 PART, PARTS = f"{OWN}part", f"{OWN}parts"
 #: Rows of one key that a single task may hold; a key with more is split.
 ROWS_PER_TASK = 1_000_000
+#: More keys than this are never split; a broadcast list of them takes some ten megabytes at most.
+MOST_HOT = 100_000
 
 
 def hot_keys(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and the number of parts to split each into.
+    """Keys with more than ``rows_per_task`` rows, or than one in ``MOST_HOT`` of all rows if that is more, and the number of
+    parts to split each into.
 
-    Counts combine map-side. There are at most ``rows / rows_per_task`` such keys, about a thousand for a billion rows:
-    that bound is why the result may be broadcast.
+    Counts combine map-side. Fewer than ``MOST_HOT`` keys can hold that many rows each, however many rows there are: that
+    bound is why the result may be broadcast.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.where(F.col("_n") > rows_per_task).select(key, F.ceil(F.col("_n") / rows_per_task).cast("int").alias(PARTS))
+    some = rows.where(F.col(key).isNotNull())
+    least = F.greatest(F.lit(rows_per_task), (some.agg(F.count("*")).scalar() / MOST_HOT).cast("bigint"))
+    counts = some.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least)
+    return counts.select(key, F.ceil(F.col("_n") / rows_per_task).cast("int").alias(PARTS))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", counted: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

@@ -22,7 +22,7 @@ from tidemark.sources.contracts import CONTRACTS, parse_lines
 from tidemark.sources.store import Store, merge_forward_only, merge_hash_guarded, merge_insert_new, merge_upsert
 from tidemark.sources.tables import table
 from tidemark.streaming.ingest import each_batch, ingest
-from tidemark.streaming.pipeline import with_lateness
+from tidemark.streaming.pipeline import Config, Pipeline, with_lateness
 from tidemark.streaming.replayer import Replay
 
 #: The states in which an order is open, and those that end it otherwise than by delivery.
@@ -131,6 +131,23 @@ def str_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return store.read("customers").select(*c.columns, day_int("_batch_date").alias("batch_day"))
 
 
+def str_two_streams(spark: SparkSession, folder: str) -> DataFrame:
+    """Files dropped by day and feed, taken in by the daily run: two streams read the change feed, each with its checkpoint, and
+    the stream of items looks its products up. The keys of what is kept."""
+    at, path = scratch(spark, "run"), F.col("_source_file")
+    for name in ("orders_cdc", "order_items", "products"):
+        c = CONTRACTS[name]
+        rows = table(spark, folder, name).select(*c.columns, F.col("_batch_date").cast("string").alias("batch_date"), F.coalesce(landing.feed_of(path), F.lit("none")).alias("feed"))
+        writer = rows.repartition("batch_date", "feed").write.partitionBy("batch_date", "feed").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        getattr(writer, c.fmt)(f"{at}/landing/{name}")
+    p = Pipeline(spark, Config(at, BACKFILL, ALLOWED_DAYS, THRESHOLD, 4))
+    p.bronze()
+    p.silver()
+    keys = lambda rows, name, n: rows.select(F.lit(name).alias("kept_in"), "order_id", F.col(n).alias("number"))
+    out = keys(p.orders(), "orders", "change_seq").unionByName(keys(p.store.read("silver.order_changes"), "order_changes", "change_seq"))
+    return out.unionByName(keys(p.store.read("silver.order_items"), "order_items", "order_item_id"))
+
+
 # -- rules and silver tables
 
 
@@ -490,9 +507,16 @@ def _order_totals(items: DataFrame) -> DataFrame:
     return out.withColumn("row_hash", star.row_hash(out, ["order_id"]))
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """The rows written once, for plans that read them several times."""
+    at = scratch(rows.sparkSession, "kept")
+    rows.write.parquet(at)
+    return rows.sparkSession.read.parquet(at)
+
+
 def _refreshed(spark: SparkSession, folder: str) -> tuple[Store, incremental.Plan]:
     """Order totals, built in full after the backfill and refreshed from the change feed after the other days."""
-    rows = silver_items(spark, folder).select(*ITEM, "price", "_batch_date")
+    rows = _kept(silver_items(spark, folder).select(*ITEM, "price", "_batch_date"))
     store = Store(spark, scratch(spark, "tables"))
     store.ensure("items", rows.schema, ITEM, 4)
 
@@ -520,8 +544,7 @@ def inc_stats(spark: SparkSession, folder: str) -> DataFrame:
 def inc_fulfillment(spark: SparkSession, folder: str) -> DataFrame:
     """The accumulating snapshot kept by refreshes: in full after the backfill, then for the orders that changed."""
     store = Store(spark, scratch(spark, "tables"))
-    log, items, scored = change_log(spark, folder), silver_items(spark, folder), scores(spark, folder)
-    people = silver_customers(spark, folder)
+    log, items, scored, people = (_kept(make(spark, folder)) for make in (change_log, silver_items, scores, silver_customers))
     store.ensure("changes", log.schema, ["order_id", "change_seq"], 4)
     store.ensure("items", items.schema, ITEM, 4)
 
@@ -663,7 +686,7 @@ def _report(name: str):
 
 
 QUERIES = {f.__name__: f for f in (
-    src_lineage, src_parse_lines, src_csv, src_snapshots, src_rescued_fields, src_one_day, str_ingest, str_ingest_parquet, str_upsert, slv_items, slv_changes, slv_orders, slv_customers, slv_products,
+    src_lineage, src_parse_lines, src_csv, src_snapshots, src_rescued_fields, src_one_day, str_ingest, str_ingest_parquet, str_upsert, str_two_streams, slv_items, slv_changes, slv_orders, slv_customers, slv_products,
     slv_reviews, dq_metrics, dq_fired, dq_duplicates, dq_loaded, dq_quarantine, dq_rule_hits, dq_reviews, dq_observed, dq_milestones, dq_gate, dq_gate_latest, gate_run, mrg_insert_new, mrg_upsert, mrg_update, mrg_overwrite,
     mrg_delete_missing, mrg_guarded_delete, mrg_forward_only, mrg_hash_guarded, cdf_changes, scd_one_pass, scd_applied, late_outcomes, gold_dim_date, gold_dim_customer, gold_dim_product, gold_fact_order_item,
     gold_fact_order_fulfillment, gold_fact_daily_backlog, gold_mart_seller, inc_totals, inc_stats, inc_fulfillment, rec_checks, rec_difference, rpl_lifecycle, rpl_manifest, rpl_feeds, rpl_delivered,

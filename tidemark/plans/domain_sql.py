@@ -227,6 +227,8 @@ SQL = {
     "str_ingest": f"SELECT customer_id, customer_unique_id, customer_zip_code_prefix, customer_city, customer_state, {_day('_batch_date')} AS batch_day, false AS _malformed FROM customers",
     "str_upsert": f"""SELECT customer_id, customer_unique_id, customer_zip_code_prefix, customer_city, customer_state, {_day('_batch_date')} AS batch_day FROM customers WHERE customer_id IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY _batch_date DESC NULLS LAST, _ingested_at DESC NULLS LAST, customer_city DESC NULLS LAST) = 1""",
+    "str_two_streams": f"""SELECT 'orders' AS kept_in, order_id, change_seq AS number FROM ({_ORDERS}) UNION ALL SELECT 'order_changes', order_id, change_seq FROM ({_WHOLE_LOG})
+      UNION ALL SELECT 'order_items', order_id, order_item_id FROM ({_ITEMS})""",
     "slv_items": f"SELECT order_id, order_item_id, product_id, seller_id, price, {_day('event_date')} AS event_day, arrival_lag_days, {_day('_batch_date')} AS batch_day FROM ({_ITEMS})",
     "slv_changes": f"SELECT order_id, change_seq, order_status, change_ts, {_day('_batch_date')} AS batch_day FROM ({_LOG})",
     "slv_orders": f"SELECT order_id, customer_id, order_status, change_seq, change_ts FROM ({_ORDERS})",
