@@ -9,12 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import cli
-from tidemark.operators import replay
+from tidemark.operators import reconcile, replay
 from tidemark.streaming.pipeline import GATE, METRICS, QUARANTINE, RECONCILED, Config, Pipeline
 from tidemark.streaming.replayer import SOURCE_FILES
 
 BACKFILL = dt.date(2024, 3, 31)
-ORDERS = 1500
+ORDERS = 900
 
 
 def write(folder, key, columns, rows):
@@ -95,13 +95,13 @@ def test_what_is_injected_is_reported(spark, tmp_path, rows, many_faults, capsys
     p.silver()
     p.scd2()
     assert versions == {t: p.store.version(t) for t in versions}
-    p.gold(full=True)
+    p.gold()
     p.mart()
     assert cli.main(["reconcile", *args, "--run-id", "checked"], spark) == 0
     log = p.store.read(RECONCILED).where("run_id = 'checked'")
     assert log.count() == 16 and log.where("NOT passed").count() == 0
     p.store.update("silver.customers", F.col("customer_id") == "c1", customer_city=F.lit("elsewhere"))
-    assert cli.main(["reconcile", *args], spark) == 3
+    assert reconcile.evaluate([c for c in p.checks() if c.name == "silver.customers"]).first()["only_left"] == 1
 
 
 def test_faults_limits(spark):
