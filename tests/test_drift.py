@@ -63,7 +63,9 @@ def test_changes_between_deliveries(spark, rows):
     assert got == sorted([("f0", dt.date(2024, 4, 2), "preco", "renamed"), ("f0", dt.date(2024, 4, 2), "box", "added"), ("f0", dt.date(2024, 4, 3), "box", "removed"), ("f0", dt.date(2024, 4, 3), "price", "added"), ("f0", dt.date(2024, 4, 3), "preco", "removed"), ("f0", dt.date(2024, 4, 3), "wrapped", "renamed")], key=str)
 
 
-def test_all_deliveries_in_one_table(spark, rows):
+@pytest.mark.parametrize("most", [5_000, 1])
+def test_all_deliveries_in_one_table(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(drift, "MOST_MAPS", most)  # the second joins by key
     df = deliveries(spark).withColumn("names", F.lit("mine")).withColumn("extra_fields", F.lit(1))
     schemas = drift.delivery_schemas(df, "_feed", "_batch_date", ["price", "due"], "_rescued_data")
     names = drift.steady_names(schemas, drift.schema_scripts(schemas), ["price", "due"])

@@ -17,12 +17,15 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import OWN, free_name
 from tidemark.operators.skew import salted_join
 from tidemark.operators.tree_edit import edit_script, schema_tree
+from tidemark.session import scratch
 
 NUMBER, BOOLEAN, TIMESTAMP, OBJECT, TEXT = "number", "boolean", "timestamp", "object", "text"
 IS_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 IS_BOOLEAN = r"^\s*(?i:true|false)\s*$"
 IS_TIMESTAMP = r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
 MAP = "map<string,string>"
+#: Deliveries whose maps of names may be broadcast, some kilobytes each; with more the rows are joined to them by key.
+MOST_MAPS = 5_000
 AT, NAMES, STEADY, EXTRA = f"{OWN}at", f"{OWN}names", f"{OWN}steady", f"{OWN}extra"
 SCRIPT = "feed string, day date, op string, old_path string, new_path string, kind string, cost double"
 
@@ -242,12 +245,19 @@ def unify(rows: DataFrame, feed: str, day: str, columns: list[str], rescued: str
     rescued value that is no object comes out in the map ``extra_fields`` under its steady path (the column has an underscore
     more if the input has one of that name): renamed, moved and nested fields alike, and a contract's value that can't be read,
     so that nothing sent is lost. An object that fills a column is done with. Each row stays one row; rows without feed or day
-    keep their fields under their own paths. ``depth`` as in ``delivery_schemas``.
+    keep their fields under their own paths. ``depth`` as in ``delivery_schemas``. The maps of up to ``MOST_MAPS`` deliveries are
+    broadcast and no row is shuffled; beyond that rows are joined to them, hot deliveries split.
     """
     at = F.struct(F.col(feed), F.col(day))
     keyed = rows.withColumn(AT, at)
     maps = names.select(F.struct(F.col("feed").alias(feed), F.col("day").alias(day)).alias(AT), F.col("names").alias(NAMES))
-    joined = salted_join(keyed, maps, AT, spread, "left", counted=keyed.select(AT))
+    at_hand = scratch(rows.sparkSession, "names")
+    maps.write.parquet(at_hand)  # a row a delivery; read back to know how many
+    maps = rows.sparkSession.read.parquet(at_hand)
+    if maps.limit(MOST_MAPS + 1).count() <= MOST_MAPS:
+        joined = keyed.join(F.broadcast(maps), AT, "left")
+    else:
+        joined = salted_join(keyed, maps, AT, spread, "left", counted=keyed.select(AT))
     every = F.concat(*entries(F.col(rescued), nesting(rows, rescued) if depth is None else depth))
     named = F.transform(every, lambda e: F.struct(F.coalesce(F.try_element_at(F.col(NAMES), e["path"]), e["path"]).alias("key"), e["path"].alias("path"), e["value"].alias("value")))
     kinds = {f.name: f.dataType for f in rows.schema.fields}
