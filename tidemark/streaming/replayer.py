@@ -14,11 +14,8 @@ from tidemark.sources.contracts import CONTRACTS
 from tidemark.sources.store import Store
 
 MANIFEST = "ops.replay_manifest"
-#: The raw files.
-SOURCE_FILES = {
-    "orders": "olist_orders_dataset.csv", "items": "olist_order_items_dataset.csv", "customers": "olist_customers_dataset.csv", "reviews": "olist_order_reviews_dataset.csv",
-    "products": "olist_products_dataset.csv", "sellers": "olist_sellers_dataset.csv", "translation": "product_category_name_translation.csv",
-}
+#: The raw files below a replay's source folder.
+SOURCE_FILES = {k: f"{k}.csv" for k in ("orders", "items", "customers", "reviews", "products", "sellers", "translation")}
 
 
 class ReplayStarted(RuntimeError):
