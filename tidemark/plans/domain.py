@@ -640,7 +640,7 @@ def rpl_feeds(spark: SparkSession, folder: str) -> DataFrame:
     plan = replay.Plan(BACKFILL, (LAST_DELIVERY - BACKFILL).days)
     out = []
     for name, feed in replay.feeds(raw_tables(spark, folder), plan).items():
-        brings = {"order_items": "order_purchase_ts", "products": "product_category_name_english", "sellers": "seller_city"}.get(name, feed.columns[0])
+        brings = {"order_items": "order_purchase_ts", "products": "product_category_name_english"}.get(name, feed.columns[0])
         out.append(feed.groupBy(day_int("_delivery_date").alias("batch_day")).agg(F.count("*").alias("row_count"), F.count(brings).alias("held")).select(F.lit(name).alias("feed"), "batch_day", "row_count", "held"))
     return reduce(lambda a, b: a.unionByName(b), out)
 
